@@ -7,10 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_path, table
+from .pieces import encode_decode
 from .token_counts import count_tokens
 from .token_store import read_tokens, write_tokens
 
 
+def token_digests(df: DataFrame) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of ids and decoded."""
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return df.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(ids, 256), "decoded_sha256": F.sha2("decoded", 256)})
+
+
+def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return token_digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -23,6 +36,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_piece_tokens": op2_piece_tokens,
     "op5_token_counts": op5_token_counts,
     "op10_token_store": op10_token_store,
 }
