@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, table
 from .pieces import encode_decode
+from .quality_rules import apply_rules
 from .token_counts import count_tokens
 from .token_store import read_tokens, write_tokens
 
@@ -24,6 +25,11 @@ def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_covered", "longest_repeat", "kept")
+    return apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -37,6 +43,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_piece_tokens": op2_piece_tokens,
+    "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op10_token_store": op10_token_store,
 }
