@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .chat import format_conversations, read_back
 from .common import shared_path, table
 from .pieces import encode_decode
+from .quality_model import fit, held_out, score_quality
 from .quality_rules import apply_rules
 from .token_counts import count_tokens
 from .token_store import read_tokens, write_tokens
@@ -43,6 +44,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -54,6 +61,7 @@ QUERIES = {
     "op2_piece_tokens": op2_piece_tokens,
     "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_store": op10_token_store,
 }
 ORACLE: dict[str, str] = {}
