@@ -13,6 +13,8 @@ Each frame is one document's ids, compressed alone; so one document is read with
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -43,8 +45,32 @@ BLOCKS = T.StructType([
 ])
 
 
+def _letters() -> dict[int, str]:
+    """Byte-level tokenizers write each byte as a character: printable Latin-1 as itself, the others from U+0100 on in order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+
+
+def splits_letters(tokenizer: str) -> bool:
+    """Whether a tokenizer composes, lower-cases and then takes runs of letters as units of a byte-level vocabulary, without added tokens of letters. Then the library's model can be given a word of letters directly."""
+    spec = json.loads(tokenizer)
+    normalizers = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        normalizers == ["NFC", "Replace", "Lowercase"] and spec["normalizer"]["normalizers"][1]["pattern"] == {"Regex": "\\s+"}
+        and [x["type"] for x in before] == ["Split", "ByteLevel"] and before[0]["pattern"] == {"Regex": _UNITS} and before[0]["invert"] and before[0]["behavior"] == "Removed"
+        and not before[1]["use_regex"] and not before[1]["add_prefix_space"] and not any(x["content"].isalpha() for x in spec["added_tokens"])
+    )
+
+
+# Fixed value: the pattern of units in such a tokenizer's file.
+_UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Signs that are cut from a word's end, as a unit ends between a letter and a sign.
+_SIGNS = ".,!?"
+
+
 def word_encoder(tokenizer: str) -> WordCache:
-    """Ids as u32 bytes by word, each word encoded once by the library's encode_batch."""
+    """Ids as u32 bytes by word, each word encoded once by the library: words of Latin letters by its model, any others by encode_batch."""
     if tokenizer not in _encoders:
         import os
 
@@ -54,23 +80,50 @@ def word_encoder(tokenizer: str) -> WordCache:
         library = Tokenizer.from_str(tokenizer)
         library.no_truncation()
         library.no_padding()
+        model, direct, shown = library.model, splits_letters(tokenizer), _letters()
 
-        def encode(words: list[str]) -> list[bytes]:
-            found: list[bytes] = []
+        def by_library(words: list[str]) -> Iterator[bytes]:
             for i in range(0, len(words), 4096):
-                found += [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(words[i : i + 4096], add_special_tokens=False)]
-            return found
+                yield from (np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(words[i : i + 4096], add_special_tokens=False))
+
+        signs = dict(zip(_SIGNS, by_library(list(_SIGNS)), strict=True)) | {"": b""}
+
+        def encode(words: list[str]) -> list[bytes]:
+            found: dict[str, bytes] = {}
+            if direct:
+                lowered: dict[str, bytes] = {}
+                for word in words:
+                    stem, sign = (word[:-1], word[-1]) if word[-1] in signs else (word, "")
+                    # Below U+0180 letters are composed already and, but for one, have one lower-case letter.
+                    if stem.isalpha() and max(stem) < "\u0180" and "\u0130" not in stem:
+                        low = stem.lower()
+                        ids = lowered.get(low)
+                        if ids is None:
+                            found_ids = [t.id for t in model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(shown))]
+                            ids = lowered[low] = struct.pack(f"<{len(found_ids)}I", *found_ids)
+                        found[word] = ids + signs[sign]
+            rest = [w for w in words if w not in found]
+            found.update(zip(rest, by_library(rest), strict=True))
+            return [found[w] for w in words]
 
         _encoders.clear()
-        _encoders[tokenizer] = WordCache(encode, 200_000)
+        _encoders[tokenizer] = WordCache(encode, 250_000)
     return _encoders[tokenizer]
 
 
+_OTHER_BLANKS = re.compile("[\x1c-\x1f]")
+
+
+def words_of(text: str) -> list[str]:
+    """Words between Unicode's white space; str.split also splits at four separators that aren't."""
+    return WITHOUT_SPACE.findall(text) if _OTHER_BLANKS.search(text) else text.split()
+
+
 def encode_text(text: str, cache: WordCache, end_id: int | None) -> bytes:
     """A whole text's ids as u32 bytes. For tokenizers that drop white space; then its words are encoded apart."""
     parts = []
     for part in chunks(text):
-        words = WITHOUT_SPACE.findall(part)
+        words = words_of(part)
         parts.append(b"".join(map(cache.filled(words).__getitem__, words)))
     return b"".join(parts) + (b"" if end_id is None else struct.pack("<I", end_id))
 
@@ -131,8 +184,9 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, doc_id: str = "d
     spark = df.sparkSession
     tokenizer = spark.sparkContext.broadcast(content := read_tokenizer(tokenizer_path))  # the size of one vocabulary file
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    short = rows.filter(F.octet_length("text").between(1, TRAIN_TEXT_BYTES)).select("text", F.xxhash64("doc_id").alias("h"))
-    texts = [r.text for r in short.orderBy("h", "text").limit(TRAIN_DOCUMENTS).collect()]
+    short = rows.filter(F.octet_length("text").between(1, TRAIN_TEXT_BYTES))
+    chosen = short.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
+    texts = [r.text for r in short.join(F.broadcast(chosen.distinct()), "doc_id").select("text").limit(TRAIN_DOCUMENTS).collect()]
     width = 2 if _largest_id(content, end_id) < 1 << 16 else 4
     cache = word_encoder(content)
     dictionary = train_dictionary([np.frombuffer(encode_text(x, cache, end_id), "<u4").astype(f"<u{width}").tobytes() for x in texts])
