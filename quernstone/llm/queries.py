@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate
 from .chat import format_conversations, read_back
 from .common import shared_path, table
 from .pieces import encode_decode
@@ -44,6 +45,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
@@ -61,7 +66,10 @@ QUERIES = {
     "op2_piece_tokens": op2_piece_tokens,
     "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_store": op10_token_store,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_decontamination": decontaminate.ORACLE,
+}
