@@ -12,6 +12,7 @@ from .common import shared_path, table
 from .pieces import encode_decode
 from .quality_model import fit, held_out, score_quality
 from .quality_rules import apply_rules
+from .sharding import shard_documents
 from .token_counts import count_tokens
 from .token_store import read_tokens, write_tokens
 
@@ -49,6 +50,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
@@ -67,6 +72,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
+    "op7_sharding": op7_sharding,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_store": op10_token_store,
 }
