@@ -13,6 +13,7 @@ from .pieces import encode_decode
 from .quality_model import fit, held_out, score_quality
 from .quality_rules import apply_rules
 from .sharding import shard_documents
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_store import read_tokens, write_tokens
 
@@ -41,6 +42,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -70,6 +76,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_piece_tokens": op2_piece_tokens,
     "op3_quality_rules": op3_quality_rules,
+    "op4_simhash_groups": op4_simhash_groups,
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
