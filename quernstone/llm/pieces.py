@@ -74,7 +74,7 @@ class PieceModel:
             for p, _, kind in self.pieces
         ]
         self.is_byte = [kind == BYTE for _, _, kind in self.pieces]
-        self.cache = WordCache(lambda units: map(self.encode_unit, units), 200_000)
+        self.cache = WordCache(lambda units: map(self.encode_unit, units), 400_000)
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str]]:
         """Tokens that merging text gives, best rank first and then leftmost; and the last merge's two sides."""
@@ -118,34 +118,38 @@ class PieceModel:
             else:  # of equal ranks the left one merges first, so the right one is undone first; a seam left of it goes before it
                 limit, tie, right = ranks[right], True, b[0]
 
-    def last_tokens(self, word: str) -> list[tuple[int, int]]:
-        """For each prefix of word, from one character on, the token that its encoding ends with, as id and length; -1 for a character that is in no piece."""
+    def last_tokens(self, word: str) -> list[tuple[int, int] | None]:
+        """For each prefix of word, from one character on, the token that its encoding ends with, as id and length; None for a character that is in no piece."""
         last: list[tuple[int, int] | None] = [None] * len(word)
         known = self.known
-        for end, token in self.matcher.iter(word):
-            if last[end] is not None:
-                continue
-            start = end - token[1]
-            if start >= 0 and (before := last[start]) is not None:
-                pair = before[0] << 32 | token[0]
-                fits = known.get(pair)
-                if fits is None:
-                    if len(known) >= _PAIRS:
-                        known.clear()
-                    fits = known[pair] = self.compatible(before[0], token[0])
-                if not fits:
-                    continue
-            last[end] = token
-        return [token or (-1, 1) for token in last]
+        for end, token in self.matcher.iter(word):  # the longest first
+            if last[end] is None:
+                i, n = token
+                if n <= end and (before := last[end - n]) is not None:
+                    pair = before[0] << 32 | i
+                    fits = known.get(pair)
+                    if fits is None:
+                        if len(known) >= _PAIRS:
+                            known.clear()
+                        fits = known[pair] = self.compatible(before[0], i)
+                    if not fits:
+                        continue
+                last[end] = token
+        return last
 
-    def tokens(self, word: str) -> list[tuple[int, str]]:
-        """A word's tokens, id and text, read backwards."""
-        last, found, at = self.last_tokens(word), [], len(word)
+    def word_ids(self, word: str) -> list[int]:
+        """A word's ids, read backwards from the last prefix's token."""
+        last, ids, at = self.last_tokens(word), [], len(word)
         while at > 0:
-            i, n = last[at - 1]
-            found.append((i, word[at - n : at]))
-            at -= n
-        return found[::-1]
+            token = last[at - 1]
+            if token is None:
+                ids += self.token_ids(word[at - 1])[::-1]
+                at -= 1
+            else:
+                ids.append(token[0])
+                at -= token[1]
+        ids.reverse()
+        return ids
 
     def token_ids(self, token: str) -> list[int]:
         if (i := self.ids.get(token)) is not None:
@@ -167,12 +171,11 @@ class PieceModel:
             return self.blank_ids(n)
         if word[0] == "\n":
             return self.token_ids("\n") * len(word)
-        tokens = self.tokens(SPACE + word if n else word)
-        if n and tokens[0][1] == SPACE:
-            tokens, blank = tokens[1:], n
-        else:
-            blank = n - 1 if n else 0
-        return [*(self.blank_ids(blank) if blank else []), *(j for i, token in tokens for j in ((i,) if i >= 0 else self.token_ids(token)))]
+        ids = self.word_ids(SPACE + word if n else word)
+        if n < 2:
+            return ids
+        # Only the last space has joined the word, or it stands with the others.
+        return [*self.blank_ids(n), *ids[1:]] if ids[0] == self.ids.get(SPACE) else [*self.blank_ids(n - 1), *ids]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, as the library's encode without begin and end ids."""
