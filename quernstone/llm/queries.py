@@ -72,7 +72,14 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_chat_format": op1_chat_format,
     "op2_piece_tokens": op2_piece_tokens,
     "op3_quality_rules": op3_quality_rules,
