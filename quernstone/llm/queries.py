@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, licenses
 from .chat import format_conversations, read_back
 from .common import shared_path, table
 from .pieces import encode_decode
@@ -60,6 +60,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
@@ -87,9 +91,11 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_store": op10_token_store,
 }
 ORACLE: dict[str, str] = {
     "op6_decontamination": decontaminate.ORACLE,
+    "op8_license_scan": licenses.oracle(),
 }
