@@ -1,4 +1,415 @@
-"""Registered queries over the driver's tables, with their DuckDB counterparts."""
+"""Registered queries over the driver's tables, with their DuckDB counterparts.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Sums of doubles are compared as decimals, as the order of additions differs between engines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import fields as fl
+from .functions import scalars as fn
+from .operators import distinct, histogram, quantile, sample
+from .plans.spec import Distinct, Percentiles, QuerySpec, Value, WeightedDistinct, count
+from .plans.summary import State, Summary, build, requery, write_by_hour
+from .sources.readers import union_all
+from .sources.scratch import scratch_path
+from .sources.writers import json_rows, msgpack_rows
+from .streaming.streams import stream_summary
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Groups, plain aggregates, order.
+
+
+@query("""
+SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS users, sum(CAST(value AS DECIMAL(18,4))) AS total,
+       min(value) AS least, max(value) AS most
+FROM events GROUP BY 1, 2 ORDER BY n DESC, hour, event_type LIMIT 10
+""")
+def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = QuerySpec(
+        keys={"hour": "date_trunc('hour', ts)", "event_type": "event_type"},
+        aggregates=[count("n"), Distinct("users", ("user_id",)), Value("total", "sum(cast(value as decimal(18,4)))"), Value("least", "min(value)"), Value("most", "max(value)")],
+        order=["-n", "hour", "event_type"], limit=10,
+    )
+    return spec.compile(t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("""
+SELECT o_custkey, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS spent FROM orders
+WHERE o_orderstatus <> 'P' GROUP BY 1 HAVING count(*) > 2 ORDER BY spent DESC, o_custkey LIMIT 20
+""")
+def topk_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = QuerySpec(
+        where="o_orderstatus <> 'P'", keys={"o_custkey": "o_custkey"}, aggregates=[count("n"), Value("spent", "sum(cast(o_totalprice as decimal(18,2)))")],
+        having="n > 2", order=["-spent", "o_custkey"], limit=20,
+    )
+    return spec.compile(t(spark, sf_dir, "orders"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(trunc(l_extendedprice) AS BIGINT) AS price_int, l_discount <> 0 AS discounted, CAST(l_linenumber AS DOUBLE) AS line_float,
+       CAST(l_partkey AS VARCHAR) AS part FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_quantity < 10
+""")
+def filter_project_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = QuerySpec(where="l_shipdate >= timestamp_ntz'1996-01-01 00:00:00' and l_quantity < 10").compile(t(spark, sf_dir, "lineitem"))
+    return rows.select(
+        "l_orderkey", "l_linenumber", fn.coerce(F.col("l_extendedprice"), "int").alias("price_int"), fn.coerce(F.col("l_discount"), "bool").alias("discounted"),
+        fn.coerce(F.col("l_linenumber"), "float").alias("line_float"), fn.coerce(F.col("l_partkey"), "string").alias("part"),
+    )
+
+
+@query("SELECT event_id, event_type, user_id FROM events ORDER BY event_id LIMIT 100")
+def first_n_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample.first_n(t(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), 100, ["event_id"])
+
+
+@query()
+def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample.reservoir(t(spark, sf_dir, "events"), 100, 7)
+
+
+@query("""
+SELECT 'customer' AS side, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 2
+UNION ALL SELECT 'supplier', s_nationkey, count(*) FROM supplier GROUP BY 2
+""")
+def implicit_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = [t(spark, sf_dir, name).select(F.lit(name).alias("side"), F.col(key).alias("nation")) for name, key in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))]
+    return union_all(*sides).groupBy("side", "nation").agg(F.count("*").alias("n"))
+
+
+# Distinct counts.
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def ucount_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QuerySpec(keys={"event_type": "event_type"}, aggregates=[Distinct("users", ("user_id",))]).compile(t(spark, sf_dir, "events"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT (l_partkey, l_suppkey)) AS pairs FROM lineitem GROUP BY 1")
+def ucount_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QuerySpec(keys={"l_returnflag": "l_returnflag"}, aggregates=[Distinct("pairs", ("l_partkey", "l_suppkey"))]).compile(t(spark, sf_dir, "lineitem"))
+
+
+@query("""
+WITH w AS (SELECT event_type, (event_id % 4) * 0.75 AS weight, count(DISTINCT user_id) AS n FROM events GROUP BY ALL)
+SELECT event_type, CAST(floor(sum(n * weight)) AS BIGINT) AS weighted FROM w GROUP BY 1
+""")
+def weighted_ucount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = QuerySpec(keys={"event_type": "event_type"}, columns={"weight": "double(event_id % 4) * double(0.75)"}, aggregates=[WeightedDistinct("weighted", ("user_id",), "weight")])
+    return spec.compile(t(spark, sf_dir, "events"))
+
+
+@query()
+def ucount_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QuerySpec(keys={"l_returnflag": "l_returnflag"}, aggregates=[Distinct("orders", ("l_orderkey",), "hll")]).compile(t(spark, sf_dir, "lineitem"))
+
+
+@query()
+def ucount_hll_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(distinct.sketch(F.col("l_orderkey")).alias("s"))
+    return states.groupBy("l_returnflag").agg(distinct.estimate(distinct.merge(F.col("s"))).alias("orders"))
+
+
+@query()
+def weighted_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "events").withColumn("weight", F.col("event_id") % 4)
+    halves = [distinct.weighted_states(rows.filter(F.col("event_id") % 2 == i), ["event_type"], ["user_id"], "weight") for i in (0, 1)]
+    return distinct.merge_weighted(union_all(*halves), ["event_type"]).select("event_type", distinct.estimate_weighted(F.col("states")).alias("weighted"))
+
+
+# Percentiles.
+
+
+def _trimmed(v: str) -> str:
+    guess = f"floor(log2(abs({v})))"
+    e = f"greatest(CASE WHEN pow(2.0, {guess}) > abs({v}) THEN {guess} - 1 WHEN pow(2.0, {guess} + 1) <= abs({v}) THEN {guess} + 1 ELSE {guess} END, -1022)"
+    return f"CASE WHEN {v} = 0 THEN {v} ELSE sign({v}) * floor(abs({v}) / pow(2.0, {e} - 10)) * pow(2.0, {e} - 10) END"
+
+
+def percentile_sql(table: str, value: str, weight: str, percents: dict[str, float], key: str | None = None) -> str:
+    k, on = (f"{key}, ", f"PARTITION BY {key}") if key else ("", "")
+    ends = {0: "min(lo)", 100: "max(hi)"}
+    columns = ", ".join(f"{ends.get(p) or f'min(CASE WHEN cum >= tot * {p}::DOUBLE / 100 THEN coalesce(nxt, hi_all) END)'} AS {n}" for n, p in percents.items())
+    return f"""
+WITH v AS (SELECT {k}{value} AS v, {weight} AS w FROM {table} WHERE {value} IS NOT NULL AND NOT isnan({value}::DOUBLE)),
+b AS (SELECT {k}{_trimmed("v")} AS bin, sum(w) AS c, min(v) AS lo, max(v) AS hi FROM v GROUP BY {k}bin),
+p AS (SELECT {k}lo, hi, sum(c) OVER ({on} ORDER BY bin) AS cum, lead(bin) OVER ({on} ORDER BY bin) AS nxt, sum(c) OVER ({on}) AS tot, max(hi) OVER ({on}) AS hi_all FROM b)
+SELECT {k}{columns} FROM p {f"GROUP BY {key}" if key else ""}"""
+
+
+PERCENTS = {"p0": 0, "p50": 50, "p90": 90, "p99": 99, "p100": 100}
+
+
+@query(percentile_sql("lineitem", "l_extendedprice", "1", PERCENTS, "l_returnflag"))
+def ntile_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QuerySpec(keys={"l_returnflag": "l_returnflag"}, aggregates=[Percentiles("l_extendedprice", PERCENTS)]).compile(t(spark, sf_dir, "lineitem"))
+
+
+@query(percentile_sql("lineitem", "l_extendedprice", "CAST(l_quantity AS BIGINT)", PERCENTS, "l_linestatus"))
+def ntile_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantile.percentiles(t(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_extendedprice", PERCENTS, "l_quantity")
+
+
+@query(percentile_sql("lineitem", "l_extendedprice", "1", PERCENTS))
+def ntile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "lineitem")
+    parts = [quantile.states(rows.filter(F.col("l_orderkey") % 3 == i), [], "l_extendedprice") for i in range(3)]
+    return quantile.finish(quantile.merge(*parts, keys=[]), [], PERCENTS)
+
+
+@query(percentile_sql("events", "value", "1", PERCENTS, "event_type"))
+def ntile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantile.percentiles(t(spark, sf_dir, "events"), ["event_type"], "value", PERCENTS)
+
+
+# Histograms.
+
+
+def histogram_sql(table: str, value: str, size: int, low: str, high: str, key: str, weight: str = "1", width: str | None = None, bounds: str = "per_key") -> str:
+    """low and high: numbers, or lo and hi for data-driven ones."""
+    inside = " AND ".join(["TRUE", *([f"v >= {low}"] if low != "lo" else []), *([f"v <= {high}"] if high != "hi" else [])])
+    by = f"PARTITION BY {key}" if bounds == "per_key" else ""
+    step = width or f"((hi - lo) / {size})"
+    top = "hi" if width is None or (low != "lo" and high != "hi") else f"least(hi, lo + {width} * {size})"
+    lo = f"{low}::DOUBLE" if low != "lo" else f"min(CASE WHEN {inside} THEN v END) OVER ({by})"
+    hi = f"{high}::DOUBLE" if high != "hi" else f"max(CASE WHEN {inside} THEN v END) OVER ({by})"
+    return f"""
+WITH v AS (SELECT {key}, {value} AS v, {weight} AS w FROM {table} WHERE isfinite({value}::DOUBLE)),
+r AS (SELECT *, {lo} AS lo, {hi} AS hi FROM v),
+s AS (SELECT *, {step}::DOUBLE AS step, {top} AS top FROM r WHERE lo IS NOT NULL AND hi IS NOT NULL),
+b AS (SELECT *, CASE WHEN v < lo THEN -1 WHEN v > top THEN {size} WHEN v = top THEN {size - 1} ELSE least({size - 1}, CAST(floor((v - lo) / step) AS INT)) END AS b FROM s),
+k AS (SELECT {key}, any_value(lo) AS lo, any_value(top) AS top, any_value(step) AS step, sum(CASE WHEN b = -1 THEN w ELSE 0 END) AS l, sum(CASE WHEN b = {size} THEN w ELSE 0 END) AS r,
+      sum(w) AS tot, min(v) AS total_min, max(v) AS total_max FROM b GROUP BY {key}),
+c AS (SELECT {key}, b, sum(w) AS n FROM b GROUP BY {key}, b)
+SELECT k.{key}, i::INT AS bin, k.lo + i * k.step AS start, CASE WHEN i = {size - 1} THEN k.top ELSE k.lo + i * k.step + k.step END AS stop, coalesce(n, 0)::BIGINT AS count,
+       l::BIGINT AS left_count, r::BIGINT AS right_count, (tot - l - r)::BIGINT AS range_count, tot::BIGINT AS total_count, total_min, total_max
+FROM k CROSS JOIN range(0, {size}) AS x(i) LEFT JOIN c ON c.{key} IS NOT DISTINCT FROM k.{key} AND c.b = x.i"""
+
+
+@query(histogram_sql("events", "value", 5, "10", "110", "event_type"))
+def hist_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.histogram(t(spark, sf_dir, "events"), ["event_type"], "value", 5, 10, 110)
+
+
+@query(histogram_sql("events", "value", 6, "10", "50", "event_type", width="10.0"))
+def hist_fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.histogram(t(spark, sf_dir, "events"), ["event_type"], "value", 6, 10, 50, width=10)
+
+
+@query(histogram_sql("lineitem", "l_extendedprice", 7, "lo", "hi", "l_returnflag", "CAST(l_quantity AS BIGINT)"))
+def hist_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.histogram(t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 7, weight="l_quantity")
+
+
+@query(histogram_sql("lineitem", "l_extendedprice", 4, "lo", "hi", "l_returnflag", width="9000.0"))
+def hist_dynamic_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.histogram(t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 4, width=9000)
+
+
+@query(histogram_sql("events", "value", 8, "lo", "hi", "event_type", bounds="all"))
+def hist_shared_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.histogram(t(spark, sf_dir, "events"), ["event_type"], "value", 8, shared_range=True)
+
+
+@query(histogram_sql("events", "value", 8, "20", "hi", "event_type"))
+def hist_half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.histogram(t(spark, sf_dir, "events"), ["event_type"], "value", 8, low=20)
+
+
+@query(histogram_sql("events", "value", 5, "10", "110", "event_type"))
+def hist_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "events")
+    return histogram.merge(*(histogram.histogram(rows.filter(F.col("event_id") % 2 == i), ["event_type"], "value", 5, 10, 110) for i in (0, 1)), keys=["event_type"])
+
+
+@query("""
+WITH v AS (SELECT l_linestatus, l_quantity AS v, l_linenumber::BIGINT AS w, CASE WHEN l_quantity < 5 THEN -1 WHEN l_quantity > 40 THEN 3 WHEN l_quantity >= 30 THEN 2 WHEN l_quantity >= 10 THEN 1 ELSE 0 END AS b FROM lineitem),
+k AS (SELECT l_linestatus, sum(CASE WHEN b = -1 THEN w ELSE 0 END) AS l, sum(CASE WHEN b = 3 THEN w ELSE 0 END) AS r, sum(w) AS tot, min(v) AS total_min, max(v) AS total_max FROM v GROUP BY 1),
+c AS (SELECT l_linestatus, b, sum(w) AS n FROM v GROUP BY 1, 2)
+SELECT k.l_linestatus, i::INT AS bin, [5.0, 10.0, 30.0, 40.0][i + 1]::DOUBLE AS start, [5.0, 10.0, 30.0, 40.0][i + 2]::DOUBLE AS stop, coalesce(n, 0)::BIGINT AS count,
+       l::BIGINT AS left_count, r::BIGINT AS right_count, (tot - l - r)::BIGINT AS range_count, tot::BIGINT AS total_count, total_min, total_max
+FROM k CROSS JOIN range(0, 3) AS x(i) LEFT JOIN c ON c.l_linestatus = k.l_linestatus AND c.b = x.i
+""")
+def bins_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.explicit_bins(t(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_quantity", [5, 10, 30, 40], "l_linenumber")
+
+
+# Fields and scalars.
+
+
+@query("""
+SELECT o_orderkey, 'o_orderstatus' AS field, o_orderstatus AS value FROM orders
+UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders
+""")
+def unpivot_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fl.unpivot(t(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') WHEN event_id % 3 = 1 THEN NULL WHEN event_type = 'click' THEN 'user' || (user_id % 7) END AS k,
+       CASE WHEN event_type = 'click' AND user_id % 5 <> 0 THEN 'web' END AS os
+FROM events
+""")
+def local_over_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three events one has k, one has it with null, and one has none and takes the batch's if it is a click."""
+    rows = t(spark, sf_dir, "events")
+    own = F.from_json("props", "map<string,string>")
+    local = F.when(F.col("event_id") % 3 == 0, own).when(F.col("event_id") % 3 == 1, F.transform_values(own, lambda k, v: F.lit(None).cast("string")))
+    shared = F.create_map(F.lit("k"), F.concat(F.lit("user"), (F.col("user_id") % 7).cast("string")), F.lit("os"), F.when(F.col("user_id") % 5 != 0, "web"))
+    star = F.when(F.col("event_type") == "click", fl.resolve(shared, local, ["k", "os"])).otherwise(fl.resolve(shared, local, []))
+    return rows.select("event_id", star.alias("star")).select("event_id", fl.field_of(F.col("star"), "k").alias("k"), fl.field_of(F.col("star"), "os").alias("os"))
+
+
+@query("SELECT p_partkey, tag FROM (SELECT p_partkey, unnest(list_filter(regexp_split_to_array(replace(p_name, ' ', ';') || ',,' || p_brand, '[,;]'), lambda x: x <> '')) AS tag FROM part)")
+def tagset_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagset = F.concat(F.replace("p_name", F.lit(" "), F.lit(";")), F.lit(",,"), F.col("p_brand"))
+    return t(spark, sf_dir, "part").select("p_partkey", F.explode(fn.tags(tagset)).alias("tag"))
+
+
+@query("""
+WITH r(key, rate) AS (SELECT event_type, max(CASE event_type WHEN 'click' THEN 0.25 ELSE 0.5 END) FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)
+SELECT event_id, coalesce(rate, 0.125)::DOUBLE AS rate FROM events LEFT JOIN r ON event_type = key
+""")
+def stratified_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = spark.createDataFrame([("click", 0.25), ("click", 0.1), ("view", 0.5)], "key string, rate double")
+    return sample.rates_by_row(t(spark, sf_dir, "events"), rates, "event_type", 0.125).select("event_id", "rate")
+
+
+@query("""
+WITH x AS (SELECT p_partkey, unnest(list_filter(regexp_split_to_array(replace(p_name, ' ', ';'), '[,;]'), lambda x: x <> '')) AS tag FROM part)
+SELECT p_partkey, max(CASE WHEN tag LIKE '%1' THEN 0.75 ELSE 0.125 END)::DOUBLE AS rate FROM x GROUP BY 1
+""")
+def tag_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = t(spark, sf_dir, "part")
+    tags = fn.tags(F.replace("p_name", F.lit(" "), F.lit(";")))
+    rates = parts.select(F.explode(tags).alias("key")).distinct().filter("key like '%1'").withColumn("rate", F.lit(0.75))
+    return sample.rates_by_tags(parts, rates, "p_partkey", tags, 0.125)
+
+
+@query()
+def sample_by_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = spark.createDataFrame([("click", 0.5)], "key string, rate double")
+    return sample.sample_by_rate(sample.rates_by_row(t(spark, sf_dir, "events"), rates, "event_type", 0.1), "rate", ["event_id"])
+
+
+@query("""
+SELECT event_id, strftime(ts + INTERVAL 19800 SECOND, '%Y-%m-%d %H:%M:%S') AS full_time, strftime(ts, '%Y-%m-%d %H') AS by_hour, strftime(ts, '%Y') AS by_year,
+       strftime(TIMESTAMP '1970-01-01' + to_seconds(event_id * 1000000), '%Y-%m-%d %H:%M') AS epoch
+FROM events
+""")
+def time_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp_ntz")
+    return t(spark, sf_dir, "events").select(
+        "event_id", fn.time_format(ts, "S", 19800).alias("full_time"), fn.time_format(ts, "H").alias("by_hour"), fn.time_format(ts, "y").alias("by_year"),
+        fn.epoch_format(F.col("event_id") * 1000000, "M").alias("epoch"),
+    )
+
+
+_PACKED = "(shiftleft((o_orderkey % 3), 56) | shiftleft((o_orderkey % 200), 48) | shiftleft((o_custkey % 60000), 32) | shiftleft((o_orderkey % 50000), 16) | (o_custkey % 1000))"
+_PLATFORM = "CASE o_orderkey % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'ios' ELSE '2' END"
+
+
+@query(f"""
+SELECT o_orderkey, {_PLATFORM} AS r0, {_PLATFORM} || '/' || (o_orderkey % 200) || '.' || (o_custkey % 60000) AS r2,
+       {_PLATFORM} || '/' || (o_orderkey % 200) || '.' || (o_custkey % 60000) || '.' || (o_orderkey % 50000) || '.' || (o_custkey % 1000) AS r4 FROM orders
+""")
+def version_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed, names = F.expr(_PACKED), {0: "web", 1: "ios"}
+    return t(spark, sf_dir, "orders").select("o_orderkey", *(fn.version_format(packed, names, r).alias(f"r{r}") for r in (0, 2, 4)))
+
+
+@query("SELECT o_orderkey, (o_orderkey % 200) * 1000000000000000 + (o_custkey % 60000) * 10000000000 + (o_orderkey % 50000) * 100000 + (o_custkey % 1000) AS version FROM orders")
+def decimal_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "orders").select("o_orderkey", fn.decimal_version(F.expr(_PACKED)).alias("version"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE CAST(o_orderkey % 4 AS VARCHAR) END AS name FROM orders")
+def enum_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "orders").select("o_orderkey", fn.enum_decode(F.col("o_orderkey") % 4, ["a", "b"]).alias("name"))
+
+
+@query("SELECT '[' || n_nationkey || ',\"' || n_name || '\",' || n_regionkey || ']' AS record FROM nation")
+def json_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_rows(t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query()
+def msgpack_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return msgpack_rows(t(spark, sf_dir, "events"))
+
+
+# Summaries.
+
+_KEYS = {"ts": "cast(date_trunc('hour', ts) as timestamp_ntz)", "event_type": "event_type"}
+_STATES = [State("n", "count"), State("users", "distinct", "user_id"), State("least", "min", "value"), State("most", "max", "value")]
+_DAILY = "SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1"
+_DAY = {"day": "cast(date_trunc('day', ts) as timestamp_ntz)"}
+
+
+def _summary_of_parts(spark: SparkSession, sf_dir: str, again: bool) -> Summary:
+    events, path = t(spark, sf_dir, "events"), scratch_path(spark, "summary")
+    summary = Summary(spark, f"{path}/summary")
+    parts = []
+    for i in range(3):
+        build(events.filter(F.col("event_id") % 3 == i), _KEYS, _STATES).write.parquet(f"{path}/part{i}_x")
+        parts.append(f"{path}/part{i}_x")
+    summary.merge(parts[:2], list(_KEYS), _STATES)
+    summary.merge(parts[1:] if again else parts[2:])
+    if again:
+        summary.merge([*parts, f"{path}/nowhere_1"])
+    return summary
+
+
+@query(_DAILY)
+def summary_requery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hourly = build(t(spark, sf_dir, "events"), _KEYS, _STATES)
+    return requery(hourly, _DAY, [s for s in _STATES if s.kind != "distinct"])
+
+
+@query(_DAILY)
+def summary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary_of_parts(spark, sf_dir, False).query(_DAY, ["n", "least", "most"])
+
+
+@query(_DAILY)
+def summary_merge_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary_of_parts(spark, sf_dir, True).query(_DAY, ["n", "least", "most"])
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1")
+def summary_hour_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "hours")
+    write_by_hour(build(t(spark, sf_dir, "events"), _KEYS, [_STATES[0]]), "ts", path)
+    some = spark.read.parquet(path).filter("hour >= '2024-01-10-00' and hour < '2024-01-12-00'")
+    return requery(some, {"event_type": "event_type"}, [_STATES[0]])
+
+
+@query(_DAILY)
+def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events whose micro-batches are merged into a summary."""
+    schema, path = t(spark, sf_dir, "events").schema, scratch_path(spark, "stream")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/events.parquet*")
+    stream_summary(stream, f"{path}/summary", _KEYS, _STATES, f"{path}/checkpoint").awaitTermination()
+    return Summary(spark, f"{path}/summary").query(_DAY, ["n", "least", "most"])
