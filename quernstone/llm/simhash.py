@@ -218,7 +218,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     linked = components(links(nodes.select("fp"), k)).withColumnRenamed("node", "fp")
     roots = linked.join(nodes, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
     merged = linked.join(roots, "root").select("fp", "component_id", "root")
-    known = nodes.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    # Cut, so that the last join has a plain exchange on either side and a fingerprint that many rows have can be split.
+    known = cut(nodes.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("root", "fp").alias("root")))
     return base.join(known, "fp").select("doc_id", "fp", "component_id", "root")
 
 
