@@ -12,6 +12,7 @@ import json
 import posixpath
 import re
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -207,4 +208,17 @@ class Summary:
 def write_by_hour(rows: DataFrame, ts: str, path: str) -> None:
     """States in Parquet, a folder for each UTC hour; a query for some hours reads their folders only."""
     hour = F.date_format(truncate_time(F.col(ts), "H"), "yyyy-MM-dd-HH")
-    rows.withColumn("hour", hour).repartition("hour").sortWithinPartitions("hour", *(c for c in rows.columns if c == ts)).write.partitionBy("hour").parquet(path)
+    # A number is given so that small hours aren't gathered in one task, which would then write all their files in turn.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.withColumn("hour", hour).repartition(tasks, "hour").sortWithinPartitions("hour", *(c for c in rows.columns if c == ts)).write.partitionBy("hour").parquet(path)
+
+
+def read_hours(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:
+    """What write_by_hour wrote for start <= hour < end. Only these hours' folders are looked for, so the rest isn't even listed."""
+    first = start.replace(minute=0, second=0, microsecond=0)
+    names = [f"hour={first + timedelta(hours=i):%Y-%m-%d-%H}" for i in range(-(-int((end - first).total_seconds()) // 3600))]
+    folder = Folder(spark, path)
+    there = [f"{path}/{n}" for n in names if folder.fs.exists(folder.at(n))]
+    if not there:
+        raise FileNotFoundError(f"no hours from {start} to {end} in {path}")
+    return spark.read.option("basePath", path).parquet(*there)

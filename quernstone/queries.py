@@ -6,6 +6,7 @@ Sums of doubles are compared as decimals, as the order of additions differs betw
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from .functions import fields as fl
 from .functions import scalars as fn
 from .operators import distinct, histogram, quantile, sample
 from .plans.spec import Distinct, Percentiles, QuerySpec, Value, WeightedDistinct, count
-from .plans.summary import State, Summary, build, requery, write_by_hour
+from .plans.summary import State, Summary, build, read_hours, requery, write_by_hour
 from .sources.readers import union_all
 from .sources.scratch import scratch_path
 from .sources.writers import json_rows, msgpack_rows
@@ -402,7 +403,7 @@ def summary_merge_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_hour_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "hours")
     write_by_hour(build(t(spark, sf_dir, "events"), _KEYS, [_STATES[0]]), "ts", path)
-    some = spark.read.parquet(path).filter("hour >= '2024-01-10-00' and hour < '2024-01-12-00'")
+    some = read_hours(spark, path, datetime(2024, 1, 10), datetime(2024, 1, 12))
     return requery(some, {"event_type": "event_type"}, [_STATES[0]])
 
 
