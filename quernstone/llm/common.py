@@ -99,3 +99,21 @@ class WordCache:
             new = list(missing)
             self.now.update(zip(new, self.compute(new), strict=True))
         return self.now
+
+
+class LazyWords(dict):
+    """Values by word, each worked out when it is first asked for; two generations of at most size words, as in WordCache."""
+
+    def __init__(self, compute: Callable[[str], object], size: int):
+        super().__init__()
+        self.compute, self.size, self.old = compute, size, {}
+
+    def __missing__(self, word: str):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(word)
+        if value is None:
+            value = self.compute(word)
+        self[word] = value
+        return value

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, slices, texts_of
+from .common import LazyWords, slices, texts_of
 from .segments import WITHOUT_SPACE, chunks
 from .token_counts import read_tokenizer
 
@@ -37,7 +37,9 @@ BLOCK_BYTES = 1 << 20
 #: The dictionary's size; training takes this many documents at most, of at most so many bytes of text each.
 DICTIONARY_BYTES, TRAIN_DOCUMENTS, TRAIN_TEXT_BYTES = 64 << 10, 1000, 16 << 10
 
-_encoders: dict[str, WordCache] = {}
+#: Words and stems kept in each of two generations.
+WORDS_KEPT, STEMS_KEPT = 400_000, 250_000
+_encoders: dict[str, LazyWords] = {}
 
 BLOCKS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("doc_lo", T.LongType()),
@@ -69,8 +71,8 @@ _UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SIGNS = ".,!?"
 
 
-def word_encoder(tokenizer: str) -> WordCache:
-    """Ids as u32 bytes by word, each word encoded once by the library: words of Latin letters by its model, any others by encode_batch."""
+def word_encoder(tokenizer: str) -> LazyWords:
+    """Ids as u32 bytes by word, each word encoded once by the library: words of Latin letters by its model, any others by encode."""
     if tokenizer not in _encoders:
         import os
 
@@ -80,34 +82,30 @@ def word_encoder(tokenizer: str) -> WordCache:
         library = Tokenizer.from_str(tokenizer)
         library.no_truncation()
         library.no_padding()
-        model, direct, shown = library.model, splits_letters(tokenizer), _letters()
-
-        def by_library(words: list[str]) -> Iterator[bytes]:
-            for i in range(0, len(words), 4096):
-                yield from (np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(words[i : i + 4096], add_special_tokens=False))
-
-        signs = dict(zip(_SIGNS, by_library(list(_SIGNS)), strict=True)) | {"": b""}
-
-        def encode(words: list[str]) -> list[bytes]:
-            found: dict[str, bytes] = {}
-            if direct:
-                lowered: dict[str, bytes] = {}
-                for word in words:
-                    stem, sign = (word[:-1], word[-1]) if word[-1] in signs else (word, "")
-                    # Below U+0180 letters are composed already and, but for one, have one lower-case letter.
-                    if stem.isalpha() and max(stem) < "\u0180" and "\u0130" not in stem:
-                        low = stem.lower()
-                        ids = lowered.get(low)
-                        if ids is None:
-                            found_ids = [t.id for t in model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(shown))]
-                            ids = lowered[low] = struct.pack(f"<{len(found_ids)}I", *found_ids)
-                        found[word] = ids + signs[sign]
-            rest = [w for w in words if w not in found]
-            found.update(zip(rest, by_library(rest), strict=True))
-            return [found[w] for w in words]
+        tokenize, shown = library.model.tokenize, _letters()
+
+        def packed(ids: list[int]) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        def by_library(word: str) -> bytes:
+            return packed(library.encode(word, add_special_tokens=False).ids)
+
+        def by_model(low: str) -> bytes:
+            return packed([t.id for t in tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(shown))])
+
+        signs = {sign: by_library(sign) for sign in _SIGNS} | {"": b""}
+        stems = LazyWords(by_model, STEMS_KEPT)
+
+        def encode(word: str) -> bytes:
+            sign = word[-1] if word[-1] in signs else ""
+            stem = word[:-1] if sign else word
+            # Below U+0180 letters are composed already and, but for one, have one lower-case letter.
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0180" and "\u0130" not in stem):
+                return stems[stem.lower()] + signs[sign]
+            return by_library(word)
 
         _encoders.clear()
-        _encoders[tokenizer] = WordCache(encode, 250_000)
+        _encoders[tokenizer] = LazyWords(encode if splits_letters(tokenizer) else by_library, WORDS_KEPT)
     return _encoders[tokenizer]
 
 
@@ -119,12 +117,11 @@ def words_of(text: str) -> list[str]:
     return WITHOUT_SPACE.findall(text) if _OTHER_BLANKS.search(text) else text.split()
 
 
-def encode_text(text: str, cache: WordCache, end_id: int | None) -> bytes:
+def encode_text(text: str, cache: LazyWords, end_id: int | None) -> bytes:
     """A whole text's ids as u32 bytes. For tokenizers that drop white space; then its words are encoded apart."""
     parts = []
     for part in chunks(text):
-        words = words_of(part)
-        parts.append(b"".join(map(cache.filled(words).__getitem__, words)))
+        parts.append(b"".join(map(cache.__getitem__, words_of(part))))
     return b"".join(parts) + (b"" if end_id is None else struct.pack("<I", end_id))
 
 
