@@ -12,13 +12,14 @@ import heapq
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import WordCache, add_columns
+from .common import LazyWords, add_columns
 
 # The escaped space, and the piece types of the model file's format.
 SPACE = "▁"
@@ -74,7 +75,7 @@ class PieceModel:
             for p, _, kind in self.pieces
         ]
         self.is_byte = [kind == BYTE for _, _, kind in self.pieces]
-        self.cache = WordCache(lambda units: map(self.encode_unit, units), 400_000)
+        self.cache = LazyWords(self.encode_unit, 400_000)
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str]]:
         """Tokens that merging text gives, best rank first and then leftmost; and the last merge's two sides."""
@@ -184,9 +185,7 @@ class PieceModel:
         text = SPACE + text.replace(" ", SPACE)
         out: list[int] = []
         for part in _chunks(text):
-            units = _UNIT.findall(part)
-            for ids in map(self.cache.filled(units).__getitem__, units):
-                out += ids
+            out += chain.from_iterable(map(self.cache.__getitem__, _UNIT.findall(part)))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
