@@ -8,7 +8,7 @@ are added up, and a pair is dropped as soon as they are more than k. Of the link
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,16 +228,20 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
 
     Of equal rows with that doc_id one stays. A group without any doc_id keeps one row, of its smallest fingerprint.
     """
+    return keep_rows(df, cut(near_duplicates(df, doc_id, text, k, n)), lambda rows, body: add_fingerprints(rows, body, "_fp", n), doc_id, text)
+
+
+def keep_rows(df: DataFrame, found: DataFrame, add: Callable[[DataFrame, str], DataFrame], doc_id: str, text: str) -> DataFrame:
+    """The rows that keep_one leaves of groups found (doc_id, fp, component_id, root); add(rows, text column) adds their fp as _fp."""
     columns = df.columns
     mine = df.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)))
     key, body = F.col(f"_{columns.index(doc_id)}").cast("long"), f"_{columns.index(text)}"
-    found = cut(near_duplicates(df, doc_id, text, k, n))
     ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
     alone = ids.filter("doc_id is not null and rows = 1 and stays").select(F.col("doc_id").alias("_id"))
     kept = mine.join(alone, key == F.col("_id"), "left_semi")
     odd = ids.filter("doc_id is null or rows > 1")
     if not odd.isEmpty():  # ids that don't name one row: their rows are told apart by fingerprint
-        rows = add_fingerprints(mine.join(odd.select(F.col("doc_id").alias("_id")), key.eqNullSafe(F.col("_id"))), body, "_fp", n)
+        rows = add(mine.join(odd.select(F.col("doc_id").alias("_id")), key.eqNullSafe(F.col("_id"))), body)
         stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | (F.col("fp") == F.col("root")))).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), F.col("root").alias("_r")).distinct()
         rows = rows.join(stay, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_fp") == F.col("_f"))).dropDuplicates(["_d", "_r"])
         kept = kept.unionByName(rows.select(*kept.columns))

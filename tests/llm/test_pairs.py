@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quernstone.llm import components, decontaminate, licenses, queries, sharding, simhash
+import corpus_pipeline
+from quernstone.llm import components, decontaminate, licenses, near_copies, queries, sharding, simhash
 
 
 def brute(numbers, k):
@@ -226,3 +227,56 @@ def test_anchors_lose_no_match():
             shingles = set(licenses.shingles_of(licenses.TEMPLATES[name][1]))
             without = [s for s in shingles if not set(group.anchors) & set(s.split())]
             assert len(without) < licenses.least_shared(len(shingles))
+
+
+def five_word_groups(rows):
+    """The smallest doc_id of each doc_id's group, linked at 5-word Jaccard 0.8 or more, by brute force."""
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+    sets, low = {d: shingles(x) for d, x in rows}, {d: d for d, _ in rows}
+    for a in sets:
+        for b in sets:
+            shared = len(sets[a] & sets[b])
+            if a < b and low[a] != low[b] and 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = sorted((low[a], low[b]))
+                low = {d: x if r == y else r for d, r in low.items()}
+    return low
+
+
+@pytest.mark.parametrize(("large", "step", "frequent"), [(16, 1 << 20, 1 << 16), (2, 7, 0)])
+def test_near_copies(spark, docs, odd, monkeypatch, large, step, frequent):
+    for name, value in (("LARGE_GROUP", large), ("NEXT", 1), ("_STEP", step), ("FREQUENT", frequent)):
+        monkeypatch.setattr(near_copies, name, value)
+    rng = random.Random(3)
+    rows = [(0, None), (1, ""), (2, "a b"), (3, "A\tb"), (4, "a b c")]
+    for i in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([5, 9, 20, 60, 150]))] if i % 3 else [f"s{j}" for j in range(120)]
+        for _ in range(rng.randint(1, 4)):
+            rows.append((len(rows), " ".join(words)))
+            for _ in range(rng.randint(0, 1 + len(words) // 40)):
+                words[rng.randrange(len(words))] = f"x{rng.random()}"
+            words = words[rng.randint(0, len(words) // 15) :] + ["end"] * rng.randint(0, 1)
+    known = five_word_groups(rows)
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == known and len(found) == len(rows)
+    assert 20 < len(set(known.values())) < len(set(groups_of(rows).values()))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(r.doc_id for r in near_copies.keep_one_copy(docs).collect()) == sorted(set(five_word_groups(rows).values()))
+    assert near_copies.keep_one_copy(odd).columns == odd.columns and near_copies.keep_one_copy(odd.limit(0)).count() == 0
+
+
+def test_the_stage_drops_near_copies(spark, sf):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:p] + [f"x{i}"] + words[p + 1 :])) for i, p in enumerate((20, 60, 100, 140))] + [(9, " ".join(words[:150]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, df, sf).collect())
+    assert left == sorted(set(five_word_groups(rows).values())) == [0, 9]
+
+
+def test_near_copies_of_odd_ids(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (None, "q w e r t y"), (None, "q w e r t y"), (3, None), (4, ""), (7, "k l m n"), (7, "other words are here now")]
+    left = near_copies.keep_one_copy(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == [("1", "a b c d"), ("3", ""), ("7", "k l m n"), ("7", "other words are here now"), ("None", "q w e r t y")]
