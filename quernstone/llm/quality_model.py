@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from .common import WordCache, add_columns, slices, texts_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: n-grams that are hashed at a time; characters of a word from which its value is not kept.
+CHUNK, LONG = 1 << 14, 64
 
 
 @dataclass(frozen=True)
@@ -40,11 +42,18 @@ class Settings:
     seed: int = 1
 
 
-def word_rows(word: str, settings: Settings) -> list[int]:
-    """The rows of a word and of its n-grams. Words over 64 characters have the n-grams of their first and last 32 only, so a word's cost is bounded."""
-    framed = f"<{word}>" if len(word) <= 64 else f"<{word[:32]}\n{word[-32:]}>"
-    grams = [framed[i : i + n] for n in range(settings.n_grams[0], settings.n_grams[1] + 1) for i in range(len(framed) - n + 1)]
-    return [zlib.crc32(x.encode()) % settings.rows for x in (f"={word}", *grams)]
+def word_rows(word: str, settings: Settings) -> Iterator[list[int]]:
+    """The rows of a word and of all its n-grams, repeats included, at most CHUNK at a time."""
+    framed = f"<{word}>"
+    yield [zlib.crc32(f"={word}".encode()) % settings.rows]
+    for n in range(settings.n_grams[0], settings.n_grams[1] + 1):
+        total = len(framed) - n + 1
+        for at in range(0, total, CHUNK):
+            yield [zlib.crc32(framed[i : i + n].encode()) % settings.rows for i in range(at, min(at + CHUNK, total))]
+
+
+def row_count(word: str, settings: Settings) -> int:
+    return 1 + sum(max(0, len(word) + 3 - n) for n in range(settings.n_grams[0], settings.n_grams[1] + 1))
 
 
 def marked_words(text: str) -> tuple[list[str], int, int]:
@@ -71,10 +80,10 @@ def document_rows(text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray
     for w in words:
         counts[w] = counts.get(w, 0) + 1
     for w, n in counts.items():
-        rows = word_rows(w, settings)
-        share = n / len(rows) / len(words)
-        for r in rows:
-            weights[r] = weights.get(r, 0.0) + share
+        share = n / row_count(w, settings) / len(words)
+        for rows in word_rows(w, settings):
+            for r in rows:
+                weights[r] = weights.get(r, 0.0) + share
     for row, n in ((settings.rows, marked), (settings.rows + 1, again)):  # the two rows beyond the hashed ones
         if n:
             weights[row] = n / len(words)
@@ -94,8 +103,10 @@ class Model:
         values, settings = self.logits.tolist(), self.settings
 
         def of(word: str) -> float:
-            rows = word_rows(word, settings)
-            return sum(map(values.__getitem__, rows)) / len(rows)
+            total = 0.0
+            for rows in word_rows(word, settings):
+                total = sum(map(values.__getitem__, rows), total)
+            return total / row_count(word, settings)
 
         return WordCache(lambda words: map(of, words))
 
@@ -107,6 +118,9 @@ class Model:
             known, total = cache, 0.0
             for i in range(0, len(words), 1 << 17):
                 some = words[i : i + (1 << 17)]
+                if max(map(len, some)) > LONG:  # those are worked out each time, so that the cache's memory is bounded
+                    total += sum(known.compute([w for w in some if len(w) > LONG]))
+                    some = [w for w in some if len(w) <= LONG]
                 total += sum(map(known.filled(some).__getitem__, some))
             logit += (total + float(np.dot((marked, again), self.logits[-2:]))) / len(words)
         return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))

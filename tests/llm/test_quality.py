@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -92,3 +93,30 @@ def test_odd_labels_and_texts(spark, odd):
     assert scored.count() == 0
     one = quality_model.train([(np.array([1], np.int32), np.array([1.0], np.float32), 1)], quality_model.Settings())
     assert 0.5 < one.score("", one.scorer()) < 1
+
+
+def test_long_words_count_whole(monkeypatch):
+    settings = quality_model.Settings()
+    hashed = lambda x: zlib.crc32(x.encode()) % settings.rows
+    word = "".join(chr(0x4E00 + random.Random(5).randrange(3000) + i % 7) for i in range(300)) + "字" * 40
+    other = word[:150] + "別" * 20 + word[170:]
+    values = np.random.default_rng(0).normal(size=settings.rows + 2)
+    model = quality_model.Model(values, 0.0, settings)
+    for chunk in (1 << 14, 7):
+        monkeypatch.setattr(quality_model, "CHUNK", chunk)
+        for w in (word, other, "a", "x" * 64, "x" * 65):
+            rows = [hashed(f"={w}")] + [hashed(f"<{w}>"[i : i + n]) for n in (3, 4) for i in range(len(w) + 3 - n)]
+            at, weights = quality_model.document_rows(w, settings)
+            assert {r: x / len(rows) for r, x in Counter(rows).items()} == pytest.approx(dict(zip(at.tolist(), weights.tolist(), strict=True)), rel=1e-4)
+            cache = model.scorer()
+            assert model.score(w, cache) == pytest.approx(1 / (1 + np.exp(-values[rows].mean())))
+            assert (w in cache.now) == (len(w) <= quality_model.LONG)
+
+
+def test_the_middle_of_a_long_word_is_learned(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(n))
+    docs = spark.createDataFrame([(i, noise(40) + ("良文" if i % 2 else "悪文") * 100 + noise(40)) for i in range(300)], "doc_id long, text string")
+    model = quality_model.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    held = [r for r in quality_model.score_quality(docs, model).withColumn("held", quality_model.held_out("doc_id")).collect() if r.held]
+    assert len(held) > 50 and all(r.predicted == r.doc_id % 2 for r in held)
