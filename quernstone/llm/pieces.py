@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import LazyWords, add_columns
+from .common import WORD_SLICE_BYTES, WordCache, add_columns, gathered, in_groups
 
 # The escaped space, and the piece types of the model file's format.
 SPACE = "▁"
@@ -28,8 +31,8 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: A unit that no piece crosses: escaped spaces with the word behind them; newlines are never part of a piece.
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 _CHUNK = 1 << 20
-#: Pairs of tokens whose compatibility is kept.
-_PAIRS = 1 << 20
+#: Pairs of tokens whose compatibility is kept; bytes of the words that are kept.
+_PAIRS, WORDS_KEPT = 1 << 20, 64 << 20
 
 
 @dataclass
@@ -75,7 +78,7 @@ class PieceModel:
             for p, _, kind in self.pieces
         ]
         self.is_byte = [kind == BYTE for _, _, kind in self.pieces]
-        self.cache = LazyWords(self.encode_unit, 400_000)
+        self.cache = WordCache(self.encode_words, WORDS_KEPT)
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str]]:
         """Tokens that merging text gives, best rank first and then leftmost; and the last merge's two sides."""
@@ -178,15 +181,26 @@ class PieceModel:
         # Only the last space has joined the word, or it stands with the others.
         return [*self.blank_ids(n), *ids[1:]] if ids[0] == self.ids.get(SPACE) else [*self.blank_ids(n - 1), *ids]
 
+    def encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words, which begin at word starts, as u32 bytes."""
+        for word in words:
+            units = (word,) if "\n" not in word and SPACE not in word[1:] else _UNIT.findall(word)
+            yield array("I", chain.from_iterable(map(self.encode_unit, units))).tobytes()
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, as the library's encode without begin and end ids."""
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        for owners, parts in in_groups([SPACE + x.replace(" ", SPACE) if x else "" for x in texts], _chunks, WORD_SLICE_BYTES):
+            plain = [p[0] == SPACE and SPACE * 2 not in p for p in parts]  # every word has one space before it
+            lists = pc.split_pattern(pa.array([p[1:] for p, easy in zip(parts, plain, strict=True) if easy], pa.string()), SPACE)
+            odd = pa.array([_UNIT.findall(p) for p, easy in zip(parts, plain, strict=True) if not easy], pa.list_(pa.string()))
+            runs = {True: _split(*gathered(lists, self.cache, SPACE.__add__)), False: _split(*gathered(odd, self.cache))}
+            for owner, easy in zip(owners, plain, strict=True):
+                found[owner].append(next(runs[easy]))
+        return [np.concatenate(x) if x else np.zeros(0, "<u4") for x in found]
+
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, as the library's encode without begin and end ids."""
-        if not text:
-            return []
-        text = SPACE + text.replace(" ", SPACE)
-        out: list[int] = []
-        for part in _chunks(text):
-            out += chain.from_iterable(map(self.cache.__getitem__, _UNIT.findall(part)))
-        return out
+        return self.encode_texts([text])[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, as the library's decode: one leading space goes, bytes that aren't UTF-8 become U+FFFD each."""
@@ -221,14 +235,24 @@ class PieceModel:
         return "".join(out)
 
 
-def _chunks(text: str, limit: int = _CHUNK) -> Iterable[str]:
-    """Parts of about limit characters, cut only at a space that follows another character."""
+def _split(numbers: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    return (numbers[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+
+
+_EDGE, _LINE = re.compile(f"(?<=[^{SPACE}])(?={SPACE})"), re.compile("(?<=\n)(?=[^\n])")
+
+
+def _chunks(text: str, limit: int = _CHUNK) -> Iterator[str]:
+    """Parts of about limit characters, cut only at a space that follows another character, or where there is none for limit characters more, behind newlines."""
     start = 0
-    edge = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
-    while len(text) - start > limit and (cut := edge.search(text, start + limit)):
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:] if start else text
+    while len(text) - start > limit:
+        edge = _EDGE.search(text, start + limit, start + 2 * limit + 1) or _LINE.search(text, start + limit) or _EDGE.search(text, start + limit)
+        if edge is None:
+            break
+        yield text[start : edge.start()]
+        start = edge.start()
+    if start < len(text):
+        yield text[start:] if start else text
 
 
 def read_pieces(path: str) -> list[tuple[str, float, int]]:
@@ -254,7 +278,8 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text") -> DataFra
 
     Null and empty texts have no ids and decode to the empty text; repeated rows each get their own result. Columns named ids or
     decoded are replaced, all others pass through; an empty table gives an empty table. The model is read on the driver and
-    broadcast (the size of its vocabulary). Memory: one slice of rows by bytes, chunks of a long text, a word cache of fixed size.
+    broadcast (the size of its vocabulary). Memory: one slice of rows by bytes, chunks of a long text, one
+    text's ids, a cache bounded by bytes. A text of any length without spaces and newlines is one word, in time in proportion.
     """
     shared = df.sparkSession.sparkContext.broadcast(read_pieces(model_path))
 
@@ -265,8 +290,10 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text") -> DataFra
         model = _models[model_path]
 
         def work(texts: list[str]) -> list[pa.Array]:
-            ids = [model.encode(x) for x in texts]
-            return [pa.array(ids, pa.list_(pa.int32())), pa.array([model.decode(x) for x in ids], pa.string())]
+            ids = model.encode_texts(texts)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+            return [listed, pa.array([model.decode(x.tolist()) for x in ids], pa.string())]
 
         return work
 

@@ -21,25 +21,26 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LazyWords, slices, texts_of
+from .common import WORD_SLICE_BYTES, WordCache, in_groups, removed, runs, shared_path, slices, strings, texts_of
 from .segments import WITHOUT_SPACE, chunks
 from .token_counts import read_tokenizer
 
 MAGIC, HEAD = b"QTB1", struct.Struct("<4sB3x32sQQ")
 #: Bytes of frames after which a block ends.
 BLOCK_BYTES = 1 << 20
-#: The dictionary's size; training takes this many documents at most, of at most so many bytes of text each.
-DICTIONARY_BYTES, TRAIN_DOCUMENTS, TRAIN_TEXT_BYTES = 64 << 10, 1000, 16 << 10
+#: The dictionary's size; training takes this many documents at most, and of each so many bytes of ids at one place at most.
+DICTIONARY_BYTES, TRAIN_DOCUMENTS, TRAIN_BYTES = 64 << 10, 1000, 4 << 10
 
-#: Words and stems kept in each of two generations.
-WORDS_KEPT, STEMS_KEPT = 400_000, 250_000
-_encoders: dict[str, LazyWords] = {}
+#: Bytes of the units, and of the words that are none, that are kept.
+UNITS_KEPT, OTHERS_KEPT = 48 << 20, 16 << 20
+_encoders: dict[str, WordEncoder] = {}
 
 BLOCKS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("doc_lo", T.LongType()),
@@ -67,13 +68,16 @@ def splits_letters(tokenizer: str) -> bool:
 
 # Fixed value: the pattern of units in such a tokenizer's file.
 _UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Signs that are cut from a word's end, as a unit ends between a letter and a sign.
-_SIGNS = ".,!?"
+# Fixed value: ASCII's signs without the apostrophe. A unit ends between a letter and a sign, and a run of signs is one unit.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters below U+0180: they are composed already and, but for one, have one lower-case letter.
+_LETTERS = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c != "\u0130")
 
 
-def word_encoder(tokenizer: str) -> LazyWords:
-    """Ids as u32 bytes by word, each word encoded once by the library: words of Latin letters by its model, any others by encode."""
-    if tokenizer not in _encoders:
+class WordEncoder:
+    """Ids of words by the library: a word of Latin letters, with signs behind them or not, is one or two units for its model; any other is encoded as a text."""
+
+    def __init__(self, tokenizer: str):
         import os
 
         from tokenizers import Tokenizer
@@ -83,46 +87,71 @@ def word_encoder(tokenizer: str) -> LazyWords:
         library.no_truncation()
         library.no_padding()
         tokenize, shown = library.model.tokenize, _letters()
+        packers = [struct.Struct(f"<{n}I").pack for n in range(65)]
 
         def packed(ids: list[int]) -> bytes:
-            return struct.pack(f"<{len(ids)}I", *ids)
-
-        def by_library(word: str) -> bytes:
-            return packed(library.encode(word, add_special_tokens=False).ids)
-
-        def by_model(low: str) -> bytes:
-            return packed([t.id for t in tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(shown))])
-
-        signs = {sign: by_library(sign) for sign in _SIGNS} | {"": b""}
-        stems = LazyWords(by_model, STEMS_KEPT)
-
-        def encode(word: str) -> bytes:
-            sign = word[-1] if word[-1] in signs else ""
-            stem = word[:-1] if sign else word
-            # Below U+0180 letters are composed already and, but for one, have one lower-case letter.
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0180" and "\u0130" not in stem):
-                return stems[stem.lower()] + signs[sign]
-            return by_library(word)
-
+            return packers[len(ids)](*ids) if len(ids) < 65 else struct.pack(f"<{len(ids)}I", *ids)
+
+        def by_model(units: list[str]) -> list[bytes]:
+            return [packed([t.id for t in tokenize(u if u.isascii() else u.encode().decode("latin-1").translate(shown))]) for u in units]
+
+        def by_library(words: list[str]) -> list[bytes]:
+            return [packed(library.encode(w, add_special_tokens=False).ids) for w in words]
+
+        self.has_units = splits_letters(tokenizer)
+        self.units, self.others = WordCache(by_model, UNITS_KEPT), WordCache(by_library, OTHERS_KEPT)
+
+    def ids(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (u32) of all words of lists in a row, and where each list's begin, with the end last."""
+        coded = lists.flatten().dictionary_encode()
+        words, index, offsets = coded.dictionary, coded.indices.to_numpy(), lists.offsets.to_numpy()
+        if not self.has_units:
+            ids, ends = runs(self.others.values(strings(words)), index)
+            return ids, ends[offsets]
+        stem = pc.utf8_rtrim(words, characters=_SIGNS)
+        known = pc.equal(pc.utf8_ltrim(stem, characters=_LETTERS), "").to_numpy(zero_copy_only=False)
+        # Two units a word, the second one often empty. Other words are taken whole as the first.
+        first, second = (x.dictionary_encode() for x in (pc.utf8_lower(stem.filter(known)), pc.utf8_ltrim(words.filter(known), characters=_LETTERS)))
+        values = [b"", *self.units.values(strings(first.dictionary)), *self.units.values(strings(second.dictionary)), *self.others.values(strings(words.filter(~known)))]
+        places = np.zeros((len(words), 2), np.int64)
+        places[known, 0] = 1 + first.indices.to_numpy()
+        places[known, 1] = 1 + len(first.dictionary) + second.indices.to_numpy()
+        places[~known, 0] = np.arange(len(values) - int((~known).sum()), len(values))
+        ids, ends = runs(values, places[index].ravel())
+        return ids, ends[2 * offsets]
+
+
+def word_encoder(tokenizer: str) -> WordEncoder:
+    """One for each worker and tokenizer."""
+    if tokenizer not in _encoders:
         _encoders.clear()
-        _encoders[tokenizer] = LazyWords(encode if splits_letters(tokenizer) else by_library, WORDS_KEPT)
+        _encoders[tokenizer] = WordEncoder(tokenizer)
     return _encoders[tokenizer]
 
 
+def forget_words() -> None:
+    _encoders.clear()
+
+
 _OTHER_BLANKS = re.compile("[\x1c-\x1f]")
 
 
-def words_of(text: str) -> list[str]:
-    """Words between Unicode's white space; str.split also splits at four separators that aren't."""
-    return WITHOUT_SPACE.findall(text) if _OTHER_BLANKS.search(text) else text.split()
+def words_of(texts: list[str]) -> pa.ListArray:
+    """Words between Unicode's white space, some of them empty; Arrow also splits at four separators that aren't."""
+    if any(map(_OTHER_BLANKS.search, texts)):
+        return pa.array(list(map(WITHOUT_SPACE.findall, texts)), pa.list_(pa.string()))
+    return pc.utf8_split_whitespace(pa.array(texts, pa.string()))
 
 
-def encode_text(text: str, cache: LazyWords, end_id: int | None) -> bytes:
-    """A whole text's ids as u32 bytes. For tokenizers that drop white space; then its words are encoded apart."""
-    parts = []
-    for part in chunks(text):
-        parts.append(b"".join(map(cache.__getitem__, words_of(part))))
-    return b"".join(parts) + (b"" if end_id is None else struct.pack("<I", end_id))
+def encode_texts(texts: list[str], words: WordEncoder, end_id: int | None) -> list[np.ndarray]:
+    """Whole texts' ids as u32. For tokenizers that drop white space; then words are encoded apart."""
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for owners, parts in in_groups(texts, chunks, WORD_SLICE_BYTES):
+        ids, ends = words.ids(words_of(parts))
+        for owner, a, b in zip(owners, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            found[owner].append(ids[a:b])
+    end = np.array([] if end_id is None else [end_id], "<u4")
+    return [np.concatenate([*x, end]) for x in found]
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -174,23 +203,33 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, doc_id: str = "d
     """Encode every whole text, append end_id, and write the blocks in ascending doc_id order under path.
 
     Null and empty texts have end_id alone. Null ids come first; rows that share an id keep one entry each, ordered by their
-    text's hash. Other columns are not stored. An empty table gives a store without documents. The range partitions are of doc_id
-    and that hash, so a repeated id can be split over tasks. The dictionary is trained on a bounded sample: TRAIN_DOCUMENTS
-    documents, those of smallest hash among texts up to TRAIN_TEXT_BYTES; it has an effect on the size only.
+    text's hash. Other columns are not stored. An empty table gives a store without documents. Texts are read once: their ids go
+    to the shared folder, and what is sorted is ids. The range partitions are of doc_id and the text's hash, so a repeated id can
+    be split over tasks. The dictionary is trained on a bounded sample, TRAIN_BYTES at one place of the ids of TRAIN_DOCUMENTS documents,
+    those of smallest hash; it has an effect on the size only. Memory: one slice of rows by bytes, chunks of a long text, one
+    text's ids, caches bounded by bytes. A text of any length without white space, signs and digits is one unit for the library.
     """
     spark = df.sparkSession
     tokenizer = spark.sparkContext.broadcast(content := read_tokenizer(tokenizer_path))  # the size of one vocabulary file
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    short = rows.filter(F.octet_length("text").between(1, TRAIN_TEXT_BYTES))
-    chosen = short.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
-    texts = [r.text for r in short.join(F.broadcast(chosen.distinct()), "doc_id").select("text").limit(TRAIN_DOCUMENTS).collect()]
     width = 2 if _largest_id(content, end_id) < 1 << 16 else 4
-    cache = word_encoder(content)
-    dictionary = train_dictionary([np.frombuffer(encode_text(x, cache, end_id), "<u4").astype(f"<u{width}").tobytes() for x in texts])
+    kinds = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("ids", pa.binary())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = word_encoder(tokenizer.value)
+        for some in slices(batches, 2, WORD_SLICE_BYTES):
+            ids = [x.astype(f"<u{width}").tobytes() for x in encode_texts(texts_of(some.column(2)), words, end_id)]
+            for place, last in _runs(ids):
+                yield pa.RecordBatch.from_arrays([some.column(0)[place:last], some.column(1)[place:last], pa.array(ids[place:last], pa.binary())], schema=kinds)
+
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
+    aside = shared_path(spark, "ids")
+    rows.mapInArrow(encode, "doc_id long, h long, ids binary").write.option("compression", "zstd").parquet(aside)
+    encoded = spark.read.schema("doc_id long, h long, ids binary").parquet(aside)
+    dictionary = train_dictionary(_training_ids(encoded, width))
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_encoder(tokenizer.value)
+        forget_words()  # a worker that has encoded keeps them no longer
         codec = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         part, seq, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
@@ -199,11 +238,11 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, doc_id: str = "d
             row = {"part": part, "seq": seq, "doc_lo": min(known, default=None), "doc_hi": max(known, default=None), "n_ids": sum(c for _, c, _ in held), "block": pack(held, dictionary, width, before)}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("doc_lo", pa.int64()), ("doc_hi", pa.int64()), ("n_ids", pa.int64()), ("block", pa.binary())]))
 
-        for some in slices(batches, 1):
-            for key, value in zip(some.column(0).to_pylist(), texts_of(some.column(1)), strict=True):
-                ids = np.frombuffer(encode_text(value, words, end_id), "<u4")
-                frame = codec.compress(ids.astype(f"<u{width}").tobytes())
-                held.append((key, len(ids), frame))
+        for some in batches:
+            for key, value in zip(some.column(0).to_pylist(), some.column(1), strict=True):
+                ids = value.as_py()
+                frame = codec.compress(ids)
+                held.append((key, len(ids) // width, frame))
                 size += len(frame)
                 if size >= BLOCK_BYTES or len(held) >= 8192:
                     yield block()
@@ -211,8 +250,32 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, doc_id: str = "d
         if held:
             yield block()
 
-    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    ordered = encoded.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    removed(spark, aside)
+
+
+def _runs(ids: list[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Places from which and up to which ids have about limit bytes."""
+    start, size = 0, 0
+    for i, x in enumerate(ids):
+        size += len(x)
+        if size >= limit:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(ids):
+        yield start, len(ids)
+
+
+def _training_ids(encoded: DataFrame, width: int) -> list[bytes]:
+    """A piece of the ids of TRAIN_DOCUMENTS documents at most, which bounds what comes to the driver. Pieces begin at a place that the hash chooses."""
+    chosen = encoded.select(F.xxhash64("doc_id", "h").alias("r")).orderBy("r").limit(TRAIN_DOCUMENTS)
+    room = F.greatest(F.octet_length("ids") - TRAIN_BYTES, F.lit(0))
+    start = F.pmod(F.col("r"), (room / width).cast("long") + 1) * width + 1
+    mine = encoded.withColumn("r", F.xxhash64("doc_id", "h")).join(F.broadcast(chosen.distinct()), "r")  # TRAIN_DOCUMENTS numbers
+    pieces = mine.select("r", F.substring("ids", start.cast("int"), F.lit(TRAIN_BYTES)).alias("piece"))
+    # Equal rows have equal hashes: one piece of each.
+    return [bytes(x.piece) for x in pieces.groupBy("r").agg(F.max("piece").alias("piece")).orderBy("r").collect()]
 
 
 def _largest_id(tokenizer: str, end_id: int | None) -> int:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -11,10 +12,10 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from quernstone.llm import queries, token_store
-from quernstone.llm.common import shared_path
+from quernstone.llm.common import WordCache, shared_path
 from quernstone.llm.pieces import PieceModel, encode_decode, read_pieces
 from quernstone.llm.segments import chunks
-from quernstone.llm.token_counts import count_tokens, count_text, read_tokenizer, segment_counter
+from quernstone.llm.token_counts import count_texts, count_tokens, read_tokenizer, segment_counter
 
 BYTE, WORD, PIECE = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ODD = " \n\t\r\x0b\x0c\x1c\x1f\x85\xa0   　​̣́ΣςAİKſŉ▁ab1!é漢'.,?😀"
@@ -39,7 +40,7 @@ def test_counts_of_noise(library):
     rng, cache = random.Random(1), segment_counter(read_tokenizer(BYTE))
     for _ in range(4000):
         text = noise(rng)
-        assert count_text(text, cache) == len(library[BYTE].encode(text, add_special_tokens=False).ids), repr(text)
+        assert count_texts([text], cache)[0] == len(library[BYTE].encode(text, add_special_tokens=False).ids), repr(text)
 
 
 def test_word_ids_of_noise(library):
@@ -47,7 +48,7 @@ def test_word_ids_of_noise(library):
     assert token_store.splits_letters(read_tokenizer(WORD)) and not token_store.splits_letters(read_tokenizer(BYTE))
     for _ in range(4000):
         text = noise(rng)
-        assert np.frombuffer(token_store.encode_text(text, cache, None), "<u4").tolist() == library[WORD].encode(text, add_special_tokens=False).ids, repr(text)
+        assert token_store.encode_texts([text], cache, None)[0].tolist() == library[WORD].encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_pieces_of_noise(pieces):
@@ -79,7 +80,7 @@ def test_long_texts_are_cut_safely(library, pieces):
     text = "".join(noise(rng) + rng.choice([" ", "\n", "x"]) for _ in range(3000))
     assert "".join(chunks(text, 100)) == text and len(list(chunks(text, 100))) > 50
     cache = segment_counter(read_tokenizer(BYTE))
-    assert sum(count_text(x, cache) for x in chunks(text, 100)) == len(library[BYTE].encode(text, add_special_tokens=False).ids)
+    assert count_texts(list(chunks(text, 100)), cache).sum() == len(library[BYTE].encode(text, add_special_tokens=False).ids)
     long = "word " * 300_000 + "x" * 5000
     assert pieces[0].encode(long) == pieces[1].encode(long)
 
@@ -142,3 +143,40 @@ def test_odd_texts(spark, odd, library, pieces):
     path = shared_path(spark, "tokens")
     token_store.write_tokens(empty, path, WORD)
     assert token_store.read_tokens(spark, path).count() == 0
+
+
+def test_letters_and_signs(library):
+    words = [a + b for a in map(chr, range(0x180)) for b in ("", "x", ".", "$.", "'s", "́")] + ["x" + chr(i) for i in range(0x180)] + ["", "A.b", "..", "É,,"]
+    words = [w for w in words if len(w.split()) < 2]
+    cache = token_store.word_encoder(read_tokenizer(WORD))
+    for w in words:
+        assert token_store.encode_texts([f"ab {w} c"], cache, None)[0].tolist() == library[WORD].encode(f"ab {w} c", add_special_tokens=False).ids, repr(w)
+
+
+def test_texts_without_white_space(library, pieces):
+    """Cut at seams of letters, digits and signs, they give what the libraries give; what is kept is bounded by bytes."""
+    rng = random.Random(8)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    texts = ["".join(han(rng.randint(1, 60)) + rng.choice("。，！.,!?19ab'が") for _ in range(200)) for _ in range(12)] + [han(20_000)]
+    assert all("".join(chunks(x, 100)) == x for x in texts) and len(list(chunks(texts[0], 100))) > 20
+    counter, encoder = segment_counter(read_tokenizer(BYTE)), token_store.word_encoder(read_tokenizer(WORD))
+    for text in texts:
+        parts = list(chunks(text, 100))
+        assert count_texts(parts, counter).sum() == count_texts([text], counter)[0] == len(library[BYTE].encode(text, add_special_tokens=False).ids)
+        ids = library[WORD].encode(text, add_special_tokens=False).ids
+        assert np.concatenate(token_store.encode_texts(parts, encoder, None)).tolist() == token_store.encode_texts([text], encoder, None)[0].tolist() == ids
+        assert pieces[0].encode(text) == pieces[1].encode(text)
+    for _ in range(40):
+        many = [han(30) + " " + han(2000) for _ in range(500)]
+        count_texts(many, counter), token_store.encode_texts(many, encoder, 1)
+    for cache in (counter, encoder.units, encoder.others, pieces[0].cache):
+        for generation in (cache.now, cache.old):
+            assert sum(sys.getsizeof(w) + (sys.getsizeof(v) if isinstance(v, bytes) else 0) for w, v in generation.items()) < 2 * cache.limit and max(map(len, generation), default=0) <= 64
+
+
+def test_no_more_is_kept_than_the_limit():
+    cache = WordCache(lambda words: [w.encode() for w in words], 1 << 20)
+    for i in range(100):
+        words = [f"word {i} {j}" for j in range(3000)] + ["x" * 65]
+        assert cache.values(words) == [w.encode() for w in words] and cache.value("x") == b"x"
+    assert len(cache.now) + len(cache.old) < 2 * ((1 << 20) // 200 + (1 << 14))
