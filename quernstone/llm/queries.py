@@ -38,7 +38,7 @@ def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_covered", "longest_repeat", "kept")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_covered", "longest_repeat", "n_maximal", "kept")
     return apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
