@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import removed, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (u, v: long); root is the component's smallest node. Loops and nulls are no links; repeated links don't matter.
 
     Each round points a node's larger neighbours, then its smaller ones, at the smallest of its neighbours, until nothing changes.
-    Rounds grow with the logarithm of the longest path. What is kept between rounds lies in the shared folder.
+    Rounds grow with the logarithm of the longest path. A node's smallest neighbour is found by partial aggregation and stored, so
+    that it meets the node's links in a join of two plain exchanges, which can be split where a node has very many links. What a round
+    leaves is removed after the next; the last one's rows, a row a node, stay in the shared folder.
     """
-    edges = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = links.sparkSession
+    edges, path = stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u", F.lit(1))).alias("y")).first()
@@ -22,10 +25,11 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        least, least_path = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large, large_path = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        small_least, small_path = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(small_least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, (edges, path) = path, stored(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        removed(spark, old, least_path, large_path, small_path)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by a binary trie's join with itself.
 
 Fingerprints within k differing bits agree in one of k + 1 blocks of their bits. Those that share a block's bits are one group;
-a group that is still large is dealt again by blocks of its other bits. The groups of a task are subtrees of one binary
+a group that is still large is dealt again by blocks of its other bits, and so on until it is small. The groups of a task are subtrees of one binary
 trie, a sorted array with that block's bits in front: pairs of nodes are walked together from the groups' roots, differing bits
 are added up, and a pair is dropped as soon as they are more than k. Of the links found, a spanning forest is handed on.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, cut, shared_path
+from .common import add_columns, cut, removed, shared_path, stored
 from .components import components
 
 SEED, SHINGLE, ERRORS = 42, 3, 2
@@ -69,17 +69,40 @@ def _front(values: np.ndarray, bits: int, low: int, width: int) -> np.ndarray:
     return ((values << np.uint64(turn)) | (values >> np.uint64(bits - turn))) & mask
 
 
+def steps(code: int, k: int) -> list[tuple[int, int, int]]:
+    """What a group shares, as ranges (bits they are among, lowest bit, width): the first one of all bits, the next ones of the rest each. code: 1 followed by the numbers of the blocks, as digits to the base k + 1."""
+    digits = []
+    while code > 1:
+        code, digit = divmod(code, k + 1)
+        digits.append(digit)
+    out, rest = [], 64
+    for digit in reversed(digits):
+        low, width = blocks(rest, k)[digit]
+        out.append((rest, low, width))
+        rest -= width
+    return out
+
+
 def arranged(values: np.ndarray, code: int, k: int) -> tuple[np.ndarray, int]:
-    """Fingerprints with the bits that their group shares in front, and the number of those. code: the block, or for a group dealt again (k + 1) * (block + 1) + the second block."""
-    first = code if code <= k else code // (k + 1) - 1
-    low, width = blocks(64, k)[first]
-    values = _front(values, 64, low, width)
-    if code <= k:
-        return values, width
-    rest = 64 - width
-    low2, width2 = blocks(rest, k)[code % (k + 1)]
-    tail = values & np.uint64((1 << rest) - 1)
-    return (values ^ tail) | _front(tail, rest, low2, width2), width + width2
+    """Fingerprints with the bits that their group shares in front, and the number of those."""
+    shared = 0
+    for rest, low, width in steps(code, k):
+        tail = values if rest == 64 else values & np.uint64((1 << rest) - 1)
+        values = (values ^ tail) | _front(tail, rest, low, width)
+        shared += width
+    return values, shared
+
+
+def dealt_again(codes: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, keys and fingerprints of the smaller groups, one for each further block, that large groups are dealt into."""
+    out = []
+    for code in np.unique(codes).tolist():
+        own = values[codes == code]
+        for digit in range(k + 1):
+            inner = code * (k + 1) + digit
+            turned, shared = arranged(own, inner, k)
+            out.append((np.full(len(own), inner), (turned >> np.uint64(64 - shared)).view(np.int64), own))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -152,11 +175,37 @@ def _bits(value: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(value, low).bitwiseAND((1 << width) - 1)
 
 
-def _turned(value: Column, low: int, width: int) -> Column:
-    """What lies below the front after the range (low, width) of 64 bits was turned to the front."""
-    turn = 64 - low - width
-    whole = F.shiftleft(value, turn).bitwiseOR(F.shiftrightunsigned(value, 64 - turn)) if turn else value
-    return whole.bitwiseAND((1 << (64 - width)) - 1)
+_GROUPS = "code long, key long, fp long"
+
+
+def _smaller(groups: DataFrame, k: int, large: int) -> tuple[DataFrame, list[str]]:
+    """Groups (code, key, fp) none of which has more than large fingerprints, and what was stored for them. Large ones are dealt by further blocks of their other bits until they are small or have too few bits left to be large."""
+    paths: list[str] = []
+    parts, code = [], k + 1  # the first of this level's codes, whose groups share the fewest bits
+    while True:
+        left = 64 - sum(width for _, _, width in steps(code, k))
+        if 1 << left <= large or left <= k + 1:  # a group's fingerprints are distinct
+            break
+        crowded, path = stored(groups.groupBy("code", "key").count().filter(F.col("count") > large).select("code", "key"), "crowded")
+        paths.append(path)
+        if crowded.isEmpty():
+            break
+        parts.append(groups.join(crowded, ["code", "key"], "left_anti"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    codes, _, values = (batch.column(i).to_numpy() for i in range(3))
+                    inner, keys, own = dealt_again(codes, values.view(np.uint64), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(inner), pa.array(keys), pa.array(_signed(own))], names=["code", "key", "fp"])
+
+        groups, path = stored(groups.join(crowded, ["code", "key"], "left_semi").mapInArrow(run, _GROUPS), "groups")
+        paths.append(path)
+        code *= k + 1
+    whole = groups
+    for part in parts:
+        whole = whole.unionByName(part)
+    return whole, paths
 
 
 def links(fingerprints: DataFrame, k: int = ERRORS, large: int = LARGE_GROUP) -> DataFrame:
@@ -164,18 +213,8 @@ def links(fingerprints: DataFrame, k: int = ERRORS, large: int = LARGE_GROUP) ->
     if not 1 <= k <= 4:
         raise ValueError("k must be 1 to 4")
     fp = F.col("fp")
-    ranges = blocks(64, k)
-    dealt = fingerprints.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("code"), _bits(fp, *r).alias("key")) for i, r in enumerate(ranges)))).alias("g")).select("fp", "g.*")
-    crowded = dealt.groupBy("code", "key").count().filter(F.col("count") > large).select("code", "key", F.lit(True).alias("crowded"))
-
-    def again(block: int) -> Column:
-        low, width = ranges[block]
-        tail = _turned(fp, low, width)
-        return F.array(*(F.struct(F.lit((k + 1) * (block + 1) + i).alias("code"), F.shiftleft(F.col("key"), w).bitwiseOR(_bits(tail, a, w)).alias("key")) for i, (a, w) in enumerate(blocks(64 - width, k))))
-
-    whole = F.array(F.struct("code", "key"))
-    split = F.coalesce(*(F.when(F.col("code") == b, again(b)) for b in range(k + 1)))
-    groups = dealt.join(crowded, ["code", "key"], "left").select("fp", F.explode(F.when(F.col("crowded"), split).otherwise(whole)).alias("g")).select("g.code", "g.key", "fp")
+    dealt = fingerprints.select("fp", F.explode(F.array(*(F.struct(F.lit(k + 1 + i).cast("long").alias("code"), _bits(fp, *r).alias("key")) for i, r in enumerate(blocks(64, k))))).alias("g")).select("g.code", "g.key", "fp")
+    groups, paths = _smaller(dealt, k, large)
     ordered = groups.repartition("code", "key").sortWithinPartitions("code", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +240,9 @@ def links(fingerprints: DataFrame, k: int = ERRORS, large: int = LARGE_GROUP) ->
         if held:
             yield links_of(held)
 
-    return ordered.mapInArrow(run, "u long, v long")
+    found, _ = stored(ordered.mapInArrow(run, "u long, v long"), "links")
+    removed(fingerprints.sparkSession, *paths)
+    return found
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = ERRORS, n: int = SHINGLE) -> DataFrame:
@@ -209,17 +250,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
 
     Null and empty texts have fingerprint 0 and are linked like any other. Equal fingerprints are one node, however many rows
     have it; repeated rows each stay. A null doc_id is no smallest id; where all of a component are null, component_id is null.
-    Other columns don't matter; an empty table gives no rows. The fingerprints, worked out once, lie in the shared folder.
+    Other columns don't matter; an empty table gives no rows. The fingerprints, worked out once, lie in the shared folder, as do
+    the nodes' components; what came between is removed. A text's words are needed together: the longest single text bounds the memory.
     """
     path = shared_path(df.sparkSession, "simhash")
     add_fingerprints(df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), n=n).drop("text").write.parquet(path)
     base = df.sparkSession.read.schema("doc_id long, fp long").parquet(path)
-    nodes = cut(base.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    nodes, nodes_path = stored(base.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     linked = components(links(nodes.select("fp"), k)).withColumnRenamed("node", "fp")
     roots = linked.join(nodes, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
     merged = linked.join(roots, "root").select("fp", "component_id", "root")
     # Cut, so that the last join has a plain exchange on either side and a fingerprint that many rows have can be split.
     known = cut(nodes.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    removed(df.sparkSession, nodes_path)
     return base.join(known, "fp").select("doc_id", "fp", "component_id", "root")
 
 
@@ -237,8 +280,9 @@ def keep_rows(df: DataFrame, found: DataFrame, add: Callable[[DataFrame, str], D
     mine = df.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)))
     key, body = F.col(f"_{columns.index(doc_id)}").cast("long"), f"_{columns.index(text)}"
     ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    alone = ids.filter("doc_id is not null and rows = 1 and stays").select(F.col("doc_id").alias("_id"))
-    kept = mine.join(alone, key == F.col("_id"), "left_semi")
+    # What goes is stored, so that its size is known: while it is small the texts don't have to move.
+    gone = cut(ids.filter("doc_id is not null and not (rows = 1 and stays)").select(F.col("doc_id").alias("_id")))
+    kept = mine.filter(key.isNotNull()).join(gone, key == F.col("_id"), "left_anti")
     odd = ids.filter("doc_id is null or rows > 1")
     if not odd.isEmpty():  # ids that don't name one row: their rows are told apart by fingerprint
         rows = add(mine.join(odd.select(F.col("doc_id").alias("_id")), key.eqNullSafe(F.col("_id"))), body)
