@@ -2,8 +2,9 @@
 
 Templates are grouped by their number of five-word shingles. A group's windows are long enough, and overlap enough, that every
 run of a template's length lies whole in one of them. A window is retrieved for a template if the two agree in one band, a
-band being one MinHash value; from the least Jaccard similarity that a window with enough of a template can have, the number
-of bands is set so that such a window is missed with a chance below MISS. What is retrieved is verified exactly.
+band being one MinHash value; from the least Jaccard similarity that a window with PIECE of a template's shingles can have, the number
+of bands is set so that such a window is missed with a chance below MISS. What is retrieved is verified exactly over the
+window and NEIGHBOURS windows' lengths on either side, so that a match which is broken in two, or has words put into it, is found too.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS, THRESHOLD, MISS = 5, 0.8, 1e-6
+#: The share of a template that one window must hold to be retrieved: half a match.
+PIECE, NEIGHBOURS = 0.4, 2
 #: Code points of all templates' shingles, once for each band, up to which templates are broadcast; beyond, Spark chooses the join.
 BROADCAST_CHARS = 16 << 20
 
@@ -67,8 +70,8 @@ def shingles_of(text: str) -> list[str]:
     return [" ".join(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)] or ([" ".join(words)] if words else [])
 
 
-def least_shared(total: int) -> int:
-    return next(m for m in range(1, total + 1) if m / total >= THRESHOLD)
+def least_shared(total: int, share: float = THRESHOLD) -> int:
+    return next(m for m in range(1, total + 1) if m / total >= share)
 
 
 @dataclass(frozen=True)
@@ -84,9 +87,9 @@ class Group:
 
 
 def anchors_of(text: str) -> set[str]:
-    """Words of which a text that holds enough of a template's shingles has one: so many shingles hold one of them that those without are too few."""
+    """Words of which a window that holds PIECE of a template's shingles has one: so many shingles hold one of them that those without are too few."""
     shingles = sorted(set(shingles_of(text)))
-    spare = least_shared(len(shingles)) - 1
+    spare = least_shared(len(shingles), PIECE) - 1
     chosen: set[str] = set()
     while len(left := [s for s in shingles if not chosen & set(s.split())]) > spare:
         counts: dict[str, int] = {}
@@ -108,7 +111,7 @@ def groups_of(templates: dict[str, tuple[str, str]]) -> list[Group]:
     for most, names in sorted(by.items()):
         stride = most if most > 4 else 1
         size = most + stride - 1
-        close = min(least_shared(sizes[n]) / (size + sizes[n] - least_shared(sizes[n])) for n in names)
+        close = min(p / (size + sizes[n] - p) for n in names for p in [least_shared(sizes[n], PIECE)])
         bands = 1 if close >= 1 else math.ceil(math.log(MISS) / math.log(1 - close))
         anchors = sorted(set().union(*(anchors_of(templates[n][1]) for n in names)))
         out.append(Group(tuple(names), most, stride, size, bands, tuple(anchors)))
@@ -127,48 +130,51 @@ def _bands(shingles: Column, n: int) -> Column:
 
 
 def _near_windows(words: Column, group: Group) -> Column:
-    """A group's windows as arrays of words, those with an anchor."""
+    """A group's windows (words of the window, and of it with its neighbours), those with an anchor."""
     last = F.greatest(F.size(words) - WORDS + 1 - group.most, F.lit(0))
     starts = F.sequence(F.lit(0), F.ceil(last / group.stride).cast("int") * group.stride, F.lit(group.stride))
     anchors = F.array(*map(F.lit, group.anchors))
-    windows = F.transform(starts, lambda s: F.slice(words, s + 1, group.size + WORDS - 1))
-    return F.filter(windows, lambda w: F.arrays_overlap(w, anchors))
+    near = F.filter(starts, lambda s: F.arrays_overlap(F.slice(words, s + 1, group.size + WORDS - 1), anchors))
+    wide = NEIGHBOURS * group.size
+    first = lambda s: F.greatest(s - wide, F.lit(0))
+    return F.transform(near, lambda s: F.struct(F.slice(words, s + 1, group.size + WORDS - 1).alias("window"), F.slice(words, first(s) + 1, s - first(s) + group.size + wide + WORDS - 1).alias("around")))
 
 
 def scan_licenses(df: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, template, license, n_shared, n_template, containment): documents with a window that holds THRESHOLD or more of a template's distinct shingles.
+    """(doc_id, template, license, n_shared, n_template, containment): documents that hold THRESHOLD or more of a template's distinct shingles.
 
     Shingles are five lower-cased words (runs of letters and digits); a text of fewer words is one shingle. n_shared is the most
-    that one window holds. Null and empty texts have none. Rows that share an id, null included, are one document here: the best
-    window of all counts. Other columns don't matter; an empty table gives no rows. Windows without any of their templates'
-    anchors (words of which every match has one) are left out before hashing, as they can't match. The templates are a
-    list on the driver, broadcast only if they are small.
+    that a window that was retrieved and its neighbours hold. A match of which no window holds PIECE, or whose parts are further apart than
+    NEIGHBOURS windows, is not found. Null and empty texts have none. Each row has its own results, rows that share an id, null included,
+    too. Other columns don't matter; an empty table gives no rows. Windows without any of their templates' anchors (words of which
+    every window with PIECE has one) are left out before hashing. A text's words are one array, so the longest single text
+    bounds the memory. The templates are a list on the driver, broadcast only if they are small.
     """
     spark = df.sparkSession
     groups = groups_of(templates)
     if not groups:
         raise ValueError("there are no templates")
-    lowered = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.lower(F.col(f"`{text}`")).alias("text"))
+    lowered = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.lower(F.col(f"`{text}`")).alias("text"))
     anchors = sorted({a for g in groups for a in g.anchors})
     some = F.lit(False)
     for a in anchors:
         some = some | F.contains("text", F.lit(a))
-    listed = lowered.filter(some).select("doc_id", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words"))
+    listed = lowered.filter(some).select("row", "doc_id", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words"))
     numbered = list(enumerate(groups))
     windows = F.concat(*(_tagged(_near_windows(F.col("words"), group), number) for number, group in numbered))
-    near = listed.filter(F.size("words") > 0).select("doc_id", F.explode(windows).alias("w")).select("doc_id", F.col("w.group").alias("group"), F.array_distinct(_shingles(F.col("w.window"))).alias("shingles"))
+    near = listed.filter(F.size("words") > 0).select("row", "doc_id", F.explode(windows).alias("w")).select("row", "doc_id", F.col("w.group").alias("group"), F.col("w.near.around").alias("around"), F.array_distinct(_shingles(F.col("w.near.window"))).alias("shingles"))
     values = F.coalesce(*(F.when(F.col("group") == number, _bands(F.col("shingles"), group.bands)) for number, group in numbered))
-    banded = near.select("doc_id", "group", "shingles", F.posexplode(values).alias("band", "value"))
+    banded = near.select("row", "doc_id", "group", "around", F.posexplode(values).alias("band", "value"))
     known = _template_bands(spark, templates, numbered)
     # A window meets a template in several bands: verifying again costs little, and nothing has to be shuffled for it.
-    shared = F.size(F.array_intersect("shingles", "template_shingles")).cast("long")
-    pairs = banded.join(known, ["group", "band", "value"]).select("doc_id", "template", "license", "n_template", shared.alias("n_shared"))
-    best = pairs.filter(F.col("n_shared") / F.col("n_template") >= THRESHOLD).groupBy("doc_id", "template", "license", "n_template").agg(F.max("n_shared").alias("n_shared"))
+    shared = F.size(F.array_intersect(_shingles(F.col("around")), "template_shingles")).cast("long")
+    pairs = banded.join(known, ["group", "band", "value"]).select("row", "doc_id", "template", "license", "n_template", shared.alias("n_shared"))
+    best = pairs.filter(F.col("n_shared") / F.col("n_template") >= THRESHOLD).groupBy("row", "doc_id", "template", "license", "n_template").agg(F.max("n_shared").alias("n_shared"))
     return best.select("doc_id", "template", "license", "n_shared", "n_template", (F.col("n_shared") / F.col("n_template")).alias("containment"))
 
 
 def _tagged(windows: Column, number: int) -> Column:
-    return F.transform(windows, lambda w: F.struct(F.lit(number).alias("group"), w.alias("window")))
+    return F.transform(windows, lambda w: F.struct(F.lit(number).alias("group"), w.alias("near")))
 
 
 def _template_bands(spark: SparkSession, templates: dict[str, tuple[str, str]], groups: list[tuple[int, Group]]) -> DataFrame:
@@ -183,21 +189,14 @@ def _template_bands(spark: SparkSession, templates: dict[str, tuple[str, str]],
 
 
 def oracle(templates: dict[str, tuple[str, str]] = TEMPLATES) -> str:
-    """DuckDB SQL that holds every window against every template."""
+    """DuckDB SQL that holds every whole document against every template, without windows."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = [
-        f"({quoted(name)}, {quoted(templates[name][0])}, [{', '.join(map(quoted, sorted(set(shingles_of(templates[name][1])))))}], {group.most}, {group.stride}, {group.size})"
-        for group in groups_of(templates)
-        for name in group.names
-    ]
+    rows = [f"({quoted(name)}, {quoted(license)}, [{', '.join(map(quoted, sorted(set(shingles_of(text)))))}])" for name, (license, text) in templates.items()]
     return rf"""
-WITH t(template, license, ts, most, stride, size) AS (VALUES {", ".join(rows)}),
+WITH t(template, license, ts) AS (VALUES {", ".join(rows)}),
 words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 shingles AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
-near AS (SELECT doc_id, s, t.* FROM shingles, t WHERE len(list_intersect(s, ts)) / len(ts) >= {THRESHOLD}),
-windows AS (SELECT *, unnest(range(0, ceil(greatest(len(s) - most, 0) / stride)::BIGINT * stride + 1, stride)) AS a FROM near),
-counted AS (SELECT doc_id, template, license, len(list_intersect(list_distinct(s[a + 1:a + size]), ts))::BIGINT AS n_shared, len(ts)::BIGINT AS n_template FROM windows)
-SELECT doc_id, template, license, max(n_shared) AS n_shared, n_template, max(n_shared) / n_template AS containment
-FROM counted GROUP BY doc_id, template, license, n_template HAVING max(n_shared) / n_template >= {THRESHOLD}
+counted AS (SELECT doc_id, template, license, len(list_intersect(s, ts))::BIGINT AS n_shared, len(ts)::BIGINT AS n_template FROM shingles, t)
+SELECT doc_id, template, license, n_shared, n_template, n_shared / n_template AS containment FROM counted WHERE n_shared / n_template >= {THRESHOLD}
 """

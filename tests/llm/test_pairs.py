@@ -66,6 +66,24 @@ def test_trie_in_small_steps(monkeypatch):
     assert {int(v): int(numbers[i]) for v, i in zip(numbers, label, strict=True)} == expected
 
 
+def test_groups_are_dealt_until_they_are_small(spark):
+    """300 numbers that agree in 50 bits and more."""
+    numbers = sorted({(random.Random(1).randrange(1 << 63) >> 14 << 14) + x for x in random.Random(2).sample(range(1 << 12), 300)})
+    df = spark.createDataFrame([(x,) for x in numbers], "fp long")
+    dealt = df.select(F.lit(5).cast("long").alias("code"), simhash._bits(F.col("fp"), 42, 22).alias("key"), "fp")
+    groups, _ = simhash._smaller(dealt, 2, 20)
+    deep = [r.code for r in groups.select("code").distinct().collect()]
+    assert max(deep) >= 27 and all(r["count"] <= 300 for r in groups.groupBy("code", "key").count().collect())
+    linked = components.components(simhash.links(df, 2, 20)).collect()
+    expected = brute(numbers, 2)
+    assert {r.node: r.root for r in linked} == {n: r for n, r in expected.items() if list(expected.values()).count(r) > 1}
+
+
+def test_components_of_a_star(spark):
+    df = spark.createDataFrame([(5000, i) for i in range(3000)], "u long, v long")
+    assert {(r.node, r.root) for r in components.components(df).collect()} == {(i, 0) for i in [*range(3000), 5000]}
+
+
 def test_components_of_a_long_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "u long, v long")
     got = {r.node: r.root for r in components.components(df).collect()}
@@ -226,7 +244,21 @@ def test_anchors_lose_no_match():
         for name in group.names:
             shingles = set(licenses.shingles_of(licenses.TEMPLATES[name][1]))
             without = [s for s in shingles if not set(group.anchors) & set(s.split())]
-            assert len(without) < licenses.least_shared(len(shingles))
+            assert len(without) < licenses.least_shared(len(shingles), licenses.PIECE)
+
+
+def test_interrupted_licenses(spark):
+    """Words put into the middle of a template, at all offsets to the windows."""
+    rows = []
+    for name in ("MIT-grant", "MIT-warranty", "ISC-grant"):
+        words = licenses.TEMPLATES[name][1].split()
+        for n in (0, 20, 40, 100):
+            for offset in range(0, 64, 3):
+                rows.append((len(rows), " ".join([*(f"a{i}" for i in range(offset)), *words[: len(words) // 2], *(f"b{i}" for i in range(n)), *words[len(words) // 2 :], "end"]), name))
+    rows.append((None, rows[0][1], "MIT-grant"))
+    rows.append((None, rows[0][1], "MIT-grant"))
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, template string").repartition(8)).collect()
+    assert sorted((str(r.doc_id), r.template) for r in found) == sorted((str(d), name) for d, _, name in rows)
 
 
 def five_word_groups(rows):
