@@ -77,7 +77,7 @@ def format_conversations(df: DataFrame, template: str = CHATML, conv_id: str = "
 
     A conversation's messages are its rows by turn; rows of the same turn come by role, then text, repeated rows all stay, null
     turns come first. Null texts and roles are empty; rows with a null conv_id are one conversation. Other columns don't matter.
-    An empty table gives no rows. Conversations stream through their task turn by turn: a row has about part_chars code points,
+    An empty table gives no rows. A conversation is one task's work, which bounds its speed but not its size: conversations stream through their task turn by turn: a row has about part_chars code points,
     start is the code points before it, last marks the end, so even a conversation with most of the rows is never held whole.
     Parts of a conversation follow each other in their partition.
     """
@@ -177,20 +177,32 @@ class ChatReader:
         return {"conv_id": conv_id, "n_turns": self.n_turns, "turns_sha256": self.turns.hexdigest(), "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.chars}
 
 
-def read_back(parts: DataFrame) -> DataFrame:
-    """Digests of each formatted conversation, read from its parts as format_conversations gave them (in the CHATML template, in their partitions' order)."""
+def read_back(parts: DataFrame, in_order: bool = True) -> DataFrame:
+    """Digests of each formatted conversation in the CHATML template, read from its parts.
+
+    in_order: the parts follow each other in their partition, as format_conversations gives them. From a stored table, say False: then
+    they are dealt by conv_id and sorted. Parts that don't follow each other are an error, as are missing ones. An empty table gives no rows.
+    """
+    chosen = parts.select(*PARTS.names)
+    if not in_order:
+        chosen = chosen.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def results() -> Iterator[dict]:
-            reader = ChatReader()
+            reader, expected = ChatReader(), (None, 0)
             for b in batches:
                 for i in range(b.num_rows):
                     row = b.slice(i, 1).to_pylist()[0]
+                    if row["part"] != expected[1] or row["part"] and row["conv_id"] != expected[0]:
+                        raise ValueError(f"part {row['part']} of conversation {row['conv_id']} doesn't follow the part before it")
                     reader.feed(row["formatted"], row["loss_spans"])
+                    expected = (row["conv_id"], row["part"] + 1)
                     if row["last"]:
                         yield reader.result(row["conv_id"])
-                        reader = ChatReader()
+                        reader, expected = ChatReader(), (None, 0)
+            if expected[1]:
+                raise ValueError(f"conversation {expected[0]} has no last part")
 
         yield from _batched(results(), _DIGEST_TYPES, 1 << 18)
 
-    return parts.select(*PARTS.names).mapInArrow(run, DIGESTS)
+    return chosen.mapInArrow(run, DIGESTS)

@@ -82,7 +82,13 @@ class Block:
     threshold: float
 
     def index(self) -> Searcher:
-        return Searcher(self)
+        """Made once in each worker, as that keeps what was broadcast."""
+        if "_index" not in self.__dict__:
+            self._index = Searcher(self)
+        return self._index
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_index"}
 
 
 class Searcher:
@@ -147,7 +153,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", it
 
     Shingles are n lower-cased words (runs of letters and digits); a text of fewer words is one shingle, so a short item only
     matches an equally short document. Null and empty texts have none and match nothing. Each repeated row of documents or
-    benchmark has its own pairs; null ids stay null. Empty tables give no pairs. Other columns don't matter. The benchmark is taken
+    benchmark has its own pairs; null ids stay null. Empty tables give no pairs. Long texts go through in chunks. Other columns don't matter. The benchmark is taken
     in blocks of bounded size; with more than one, each block's pairs are written to the shared folder.
     """
     spark = docs.sparkSession

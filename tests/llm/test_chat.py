@@ -75,6 +75,22 @@ def test_op1(spark, sf):
     turns[-1] = [("user", attack), ("assistant", attack)]
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op1_chat_format(spark, sf).collect()}
     assert got == {c: expected(x) for c, x in turns.items()}
+    chars = {r.conv_id: r.formatted_chars for r in queries.op1_chat_format(spark, sf).collect()}
+    # The control strings and line ends of a turn have 12 + 1 + 10 + 1 code points.
+    assert chars == {c: sum(24 + len(r) + len(t.escape_control(x)) for r, x in own) for c, own in turns.items()}
+
+
+def test_parts_in_another_order(spark, tmp_path):
+    rows = [(c, i, "user" if i % 2 else "assistant", f"text {c} {i} " * 9) for c in range(5) for i in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat.format_conversations(df, part_chars=50)
+    expected_rows = sorted(map(tuple, chat.read_back(parts).collect()))
+    parts.repartition(3, "part").write.parquet(f"{tmp_path}/parts")
+    stored = spark.read.parquet(f"{tmp_path}/parts")
+    assert sorted(map(tuple, chat.read_back(stored, in_order=False).collect())) == expected_rows
+    for bad in (stored.orderBy("part"), stored.filter("not last").orderBy("conv_id", "part").coalesce(1)):
+        with pytest.raises(Exception, match="follow|no last part"):
+            chat.read_back(bad).collect()
 
 
 def test_odd_conversations(spark):
