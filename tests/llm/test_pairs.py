@@ -1,5 +1,6 @@
 """Operators 4, 6, 7 and 8."""
 
+import math
 import random
 import re
 import zlib
@@ -278,9 +279,28 @@ def five_word_groups(rows):
     return low
 
 
-@pytest.mark.parametrize(("large", "step", "frequent"), [(16, 1 << 20, 1 << 16), (2, 7, 0)])
-def test_near_copies(spark, docs, odd, monkeypatch, large, step, frequent):
-    for name, value in (("LARGE_GROUP", large), ("NEXT", 1), ("_STEP", step), ("FREQUENT", frequent)):
+def test_chances_to_miss():
+    """Of a pair of similarity 0.8: that no band is equal, and that too few values are."""
+    p, n = 0.8, near_copies.BANDS * near_copies.ROWS
+    assert (1 - p**near_copies.ROWS) ** near_copies.BANDS < 1e-12
+    assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(near_copies.AGREE)) < 1e-11
+
+
+def test_minhashes_agree_as_sets_are_similar():
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.8):
+        agree = []
+        for _ in range(60):
+            n = int(rng.integers(20, 4000))
+            both = rng.integers(0, 1 << 63, n, np.uint64)
+            k = int(n * (1 - share) / 2)
+            agree.append((near_copies.minhashes(both[k:]) == near_copies.minhashes(both[: n - k])).mean())
+        assert abs(np.mean(agree) - share) < 0.02
+
+
+@pytest.mark.parametrize(("large", "step"), [(16, 1 << 20), (2, 7)])
+def test_near_copies(spark, docs, odd, monkeypatch, large, step):
+    for name, value in (("LARGE_GROUP", large), ("NEXT", 1), ("_STEP", step)):
         monkeypatch.setattr(near_copies, name, value)
     rng = random.Random(3)
     rows = [(0, None), (1, ""), (2, "a b"), (3, "A\tb"), (4, "a b c")]
