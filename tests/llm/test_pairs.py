@@ -282,8 +282,8 @@ def five_word_groups(rows):
 def test_chances_to_miss():
     """Of a pair of similarity 0.8: that no band is equal, and that too few values are."""
     p, n = 0.8, near_copies.BANDS * near_copies.ROWS
-    assert (1 - p**near_copies.ROWS) ** near_copies.BANDS < 1e-12
-    assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(near_copies.AGREE)) < 1e-11
+    assert (1 - p**near_copies.ROWS) ** near_copies.BANDS < 1e-9
+    assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(near_copies.AGREE)) < 1e-12
 
 
 def test_minhashes_agree_as_sets_are_similar():
