@@ -90,17 +90,30 @@ def explicit_bins(df: DataFrame, keys: list[str], value: str, separators: list[f
     return _spread(counts, keys, size, F.element_at(listed, F.col("_i") + 1), F.element_at(listed, F.col("_i") + 2), [])
 
 
+def value_states(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """keys, value, count: a state that merges by adding up and of which histogram(..., "value", weight="count") can be made with any bounds, data-driven ones too. As many rows as there are distinct values."""
+    return _finite(df, keys, value, weight).groupBy(*keys, F.col("_v").alias("value")).agg(F.sum("_w").alias("count"))
+
+
+def merge_states(*parts: DataFrame, keys: list[str]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy(*keys, "value").agg(F.sum("count").alias("count"))
+
+
 def merge(*parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Histograms of the same bins as one."""
+    """Histograms of the same bins as one. Bins that differ, as data-driven ones do, are an error when the result is computed: merge value_states then."""
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
     sums = [F.sum(c).alias(c) for c in ("count", "left_count", "right_count", "range_count", "total_count")]
-    merged = whole.groupBy(*keys, "bin").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), *sums, F.min("total_min").alias("total_min"), F.max("total_max").alias("total_max"))
-    if not keys:
-        return merged.select(*RESULT)
-    totals = ["left_count", "right_count", "range_count", "total_count", "total_min", "total_max"]
-    return merged.select(*keys, "bin", "start", "stop", "count", *totals)
+
+    def same(edge: str) -> Column:
+        return F.when(F.min(edge) == F.max(edge), F.min(edge)).otherwise(F.raise_error(F.lit("histograms with different bins can't be merged"))).alias(edge)
+
+    merged = whole.groupBy(*keys, "bin").agg(same("start"), same("stop"), *sums, F.min("total_min").alias("total_min"), F.max("total_max").alias("total_max"))
+    return merged.select(*keys, *RESULT[:4], *RESULT[4:])
 
 
 def binned_struct(rows: DataFrame, keys: list[str], name: str = "histogram") -> DataFrame:

@@ -1,9 +1,10 @@
 """Summaries: aggregates kept by key as mergeable states, queried again at coarser keys, and merged incrementally.
 
-A summary is a folder: data of generation N lies in gen=N, and manifests/N.json names it, with the states' kinds and the ids of
-all parts applied so far. A generation exists once its manifest does, which is written aside and renamed; a rename onto a
-name that is there fails, so two writers can't both make one generation, and a crash leaves the one before in force. Parts whose
-id has been applied are skipped, so a merge can be repeated.
+A summary is a folder: manifests/N.json names the folder of generation N's data, which no other writer uses, with the states' kinds and
+the ids of all parts applied so far. A generation exists once its manifest does; that is written aside and given its name in one
+step that fails if the name is there, so two writers can't both make one generation, the slower one's data are removed, and a crash leaves
+the one before in force. After a commit the last two generations stay, for readers that have begun; older ones go. Parts
+whose id has been applied are skipped, so a merge can be repeated.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 import json
 import posixpath
 import re
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,10 @@ from ..functions.scalars import truncate_time
 from ..operators import distinct as d
 
 VERSION = 2
+# Stores with such a step.
+ONE_STEP = ("file", "hdfs", "viewfs", "abfs", "abfss")
+#: Generations that stay after a commit.
+KEPT = 2
 #: How states are made of rows and of states, and read. Kinds: count (of rows), sum (of a column), min, max, distinct (a sketch).
 KINDS = ("count", "sum", "min", "max", "distinct")
 
@@ -102,18 +109,32 @@ class Folder:
             stream.close()
 
     def publish(self, name: str, text: str) -> None:
-        """Write aside, then rename; fails if the name is there."""
-        aside = self.at(f"_{posixpath.basename(name)}.{id(self)}.tmp")
+        """Write aside, then give it its name, unless that is there: by a hard link on local disks, by a rename on stores whose rename is one step and keeps what is there. Others are refused."""
+        scheme = self.fs.getUri().getScheme()
+        if scheme not in ONE_STEP:
+            raise ValueError(f"a summary can't be committed safely in {scheme}:, which has no step that fails if a name is there")
+        aside, target = self.at(f"_{posixpath.basename(name)}.{uuid.uuid4().hex}.tmp"), self.at(name)
+        self.fs.mkdirs(target.getParent())
         stream = self.fs.create(aside, True)
         try:
             stream.write(bytearray(text.encode()))
             stream.hsync()
         finally:
             stream.close()
-        self.fs.mkdirs(self.at(name).getParent())
-        if self.fs.exists(self.at(name)) or not self.fs.rename(aside, self.at(name)):
-            self.fs.delete(aside, False)
-            raise RuntimeError(f"{name} is there already: another writer was faster")
+        try:
+            if scheme == "file":
+                local = lambda path: self.jvm.java.io.File(path.toUri().getPath()).toPath()
+                try:
+                    self.jvm.java.nio.file.Files.createLink(local(target), local(aside))
+                except Py4JJavaError as error:
+                    if "FileAlreadyExists" not in str(error.java_exception):
+                        raise
+                    raise RuntimeError(f"{name} is there already: another writer was faster") from None
+            elif not self.fs.rename(aside, target):
+                raise RuntimeError(f"{name} is there already: another writer was faster")
+        finally:
+            if self.fs.exists(aside):
+                self.fs.delete(aside, False)
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
@@ -144,20 +165,31 @@ class Summary:
             raise FileNotFoundError(self.path)
         return self.spark.read.parquet(f"{self.path}/{found['data']}")
 
-    def _commit(self, rows: DataFrame, keys: list[str], states: list[State], parts: list[str], before: dict | None) -> dict:
+    def _commit(self, rows: DataFrame, keys: list[str], states: list[State], parts: list[str], before: dict | None, empty: bool = True) -> dict | None:
+        """Write the next generation; None, and nothing written, if there are no rows and they may not be empty."""
         generation = (before["generation"] if before else 0) + 1
-        data = f"gen={generation}"
-        if f"{generation:010d}.json" not in self.folder.names("manifests"):
-            self.folder.delete(data)  # of a writer that didn't end
-        rows.sort(*keys).write.parquet(f"{self.path}/{data}")
-        manifest = {"version": VERSION, "generation": generation, "data": data, "keys": keys, "states": [s.__dict__ for s in states], "parts": sorted(parts)}
-        self.folder.publish(f"manifests/{generation:010d}.json", json.dumps(manifest))
+        data = f"gen={generation}-{uuid.uuid4().hex}"
+        try:
+            rows.sort(*keys).write.parquet(f"{self.path}/{data}")
+            if not empty and self.spark.read.parquet(f"{self.path}/{data}").isEmpty():
+                self.folder.delete(data)
+                return None
+            manifest = {"version": VERSION, "generation": generation, "data": data, "keys": keys, "states": [s.__dict__ for s in states], "parts": sorted(parts)}
+            self.folder.publish(f"manifests/{generation:010d}.json", json.dumps(manifest))
+        except Exception:
+            self.folder.delete(data)
+            raise
+        for name in sorted(self.folder.names("manifests")):
+            if re.fullmatch(r"\d{10}\.json", name) and int(name[:10]) <= generation - KEPT:
+                self.folder.delete(json.loads(self.folder.text(f"manifests/{name}"))["data"])
+                self.folder.delete(f"manifests/{name}")
         return manifest
 
     def create(self, rows: DataFrame, keys: list[str], states: list[State], parts: list[str] | None = None) -> dict:
+        """The first generation. Without any row nothing is written, and the manifest returned is empty."""
         if self.manifest() is not None:
             raise FileExistsError(self.path)
-        return self._commit(rows, keys, states, parts or [], None)
+        return self._commit(rows, keys, states, parts or [], None, empty=False) or {}
 
     def merge(self, arguments: list[str], keys: list[str] | None = None, states: list[State] | None = None, strict_compat: bool = False, delete_inputs: bool = False) -> dict:
         """Merge parts ("id:path" or path, Parquet of states) into the next generation.
@@ -214,11 +246,11 @@ def write_by_hour(rows: DataFrame, ts: str, path: str) -> None:
 
 
 def read_hours(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:
-    """What write_by_hour wrote for start <= hour < end. Only these hours' folders are looked for, so the rest isn't even listed."""
+    """What write_by_hour wrote for start <= hour < end. Only these hours' folders are looked for, so the rest isn't even listed, unless there are none of these."""
     first = start.replace(minute=0, second=0, microsecond=0)
     names = [f"hour={first + timedelta(hours=i):%Y-%m-%d-%H}" for i in range(-(-int((end - first).total_seconds()) // 3600))]
     folder = Folder(spark, path)
     there = [f"{path}/{n}" for n in names if folder.fs.exists(folder.at(n))]
-    if not there:
-        raise FileNotFoundError(f"no hours from {start} to {end} in {path}")
+    if not there:  # an empty table, as a filter would give
+        return spark.read.option("basePath", path).parquet(path).limit(0)
     return spark.read.option("basePath", path).parquet(*there)

@@ -2,10 +2,13 @@
 
 import json
 import struct
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.operators import histogram
+from quernstone.plans import summary
 from quernstone.plans.spec import QuerySpec
 from quernstone.plans.summary import State, Summary, build, merge, part_id
 from quernstone.sources import readers, writers
@@ -148,3 +151,58 @@ def test_streams(spark, tmp_path):
     assert s.query({}, ["n"]).first().n == 60 and s.manifest()["parts"] == ["batch-0", "batch-1", "batch-2"]
     stream_rows(stream, QuerySpec(where="k = 1", columns={"u": "u"}), f"{tmp_path}/rows", f"{tmp_path}/c2").awaitTermination()
     assert spark.read.text(f"{tmp_path}/rows").count() == 15
+
+
+def _states(spark, n):
+    return summary.build(spark.range(n).selectExpr("id % 2 as k"), {"k": "k"}, [summary.State("n", "count")])
+
+
+def test_two_writers_of_one_generation(spark, tmp_path, monkeypatch):
+    """The second one finishes while the first is about to publish, or to write: one of them fails, and what the manifest names is the winner's."""
+    for step in ("publish", "write"):
+        path = f"{tmp_path}/{step}"
+        for name, n in (("a", 10), ("b", 100), ("base", 2)):
+            _states(spark, n).write.parquet(f"{path}/{name}_x")
+        states = [summary.State("n", "count")]
+        summary.Summary(spark, f"{path}/s").merge([f"{path}/base_x"], ["k"], states)
+        first, second, done = summary.Summary(spark, f"{path}/s"), summary.Summary(spark, f"{path}/s"), []
+        real = summary.Folder.publish if step == "publish" else summary.merge
+
+        def between(*args, real=real, second=second, path=path, done=done):
+            if not done:
+                done.append(1)
+                second.merge([f"{path}/b_x"])
+            return real(*args)
+
+        monkeypatch.setattr(*((summary.Folder, "publish") if step == "publish" else (summary, "merge")), between)
+        with pytest.raises(RuntimeError, match="faster"):
+            first.merge([f"{path}/a_x"])
+        monkeypatch.undo()
+        assert first.manifest()["parts"] == ["b", "base"] and first.read().agg({"n": "sum"}).first()[0] == 102
+        first.merge([f"{path}/a_x"])  # its part is still open
+        assert first.manifest()["parts"] == ["a", "b", "base"] and first.read().agg({"n": "sum"}).first()[0] == 112
+        folders = {x for x in first.folder.names(".") if x.startswith("gen=")}
+        assert len(folders) == 2 and len(first.folder.names("manifests")) == 2 and first.manifest()["data"] in folders
+
+
+def test_nothing_is_written_without_rows(spark, tmp_path):
+    s = summary.Summary(spark, f"{tmp_path}/s")
+    assert s.create(_states(spark, 0), ["k"], [summary.State("n", "count")]) == {} and s.manifest() is None
+    assert not [x for x in s.folder.names(".") if x.startswith("gen=")]
+    assert s.create(_states(spark, 4), ["k"], [summary.State("n", "count")])["generation"] == 1
+
+
+def test_hours_that_are_not_there(spark, tmp_path):
+    rows = spark.sql("select timestamp_ntz'2024-01-01 05:30:00' as ts, 1 as n")
+    summary.write_by_hour(rows, "ts", f"{tmp_path}/h")
+    found = summary.read_hours(spark, f"{tmp_path}/h", datetime(2024, 1, 2), datetime(2024, 1, 3))
+    assert found.count() == 0 and set(found.columns) == {"ts", "n", "hour"}
+    assert summary.read_hours(spark, f"{tmp_path}/h", datetime(2024, 1, 1, 5), datetime(2024, 1, 1, 6)).count() == 1
+
+
+def test_histograms_of_other_bins_are_not_merged(spark):
+    parts = [spark.createDataFrame([(float(x),) for x in values], "v double") for values in ((0, 1, 2, 3, 4), (100, 104))]
+    with pytest.raises(Exception, match="different bins"):
+        histogram.merge(*(histogram.histogram(p, [], "v", 2) for p in parts), keys=[]).collect()
+    merged = histogram.merge_states(*(histogram.value_states(p, [], "v") for p in parts), keys=[])
+    assert [r["count"] for r in histogram.histogram(merged, [], "value", 2, weight="count").orderBy("bin").collect()] == [5, 2]
