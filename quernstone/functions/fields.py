@@ -52,10 +52,8 @@ def rows_from_cells(cells: DataFrame, types: dict[int, tuple[str, str]]) -> Data
     def picked(of_event: bool) -> list[Column]:
         out = []
         for field_id, (name, kind) in types.items():
-            number = F.when(F.col("is_float"), F.col("float_value")).otherwise(F.col("int_value"))
-            value = F.col("str_value") if kind == "string" else coerce(F.when(F.col("is_float"), F.col("float_value")), kind) if kind == "float" else coerce(number, kind)
-            if kind == "float":
-                value = F.coalesce(value, F.col("int_value").cast("double"))
+            # Either side is coerced apart, as integers that pass through a double lose their last bits.
+            value = F.col("str_value") if kind == "string" else F.when(F.col("is_float"), coerce(F.col("float_value"), kind)).otherwise(coerce(F.col("int_value"), kind))
             mine = (F.col("field_id") == field_id) & (F.col("event_id").isNotNull() if of_event else F.col("event_id").isNull())
             out += [F.max(F.when(mine & ~F.col("is_null"), value)).alias(name), F.coalesce(F.bool_or(mine), F.lit(False)).alias(f"has_{name}")]
         return out

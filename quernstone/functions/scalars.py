@@ -13,8 +13,8 @@ TIME_PATTERNS = {"y": "yyyy", "m": "yyyy-MM", "d": "yyyy-MM-dd", "H": "yyyy-MM-d
 TIME_UNITS = {"y": "year", "m": "month", "d": "day", "H": "hour", "M": "minute", "S": "second"}
 # The bits of a packed version, platform:8 v1:8 v2:16 v3:16 v4:16.
 VERSION_FIELDS = {"platform": (56, 0xFF), "v1": (48, 0xFF), "v2": (32, 0xFFFF), "v3": (16, 0xFFFF), "v4": (0, 0xFFFF)}
-#: Tags and characters that a tag set gives at most.
-MAX_TAGS, MAX_TAG_CHARS = 100, 4096
+# Tags, and bytes of a tag set, that the original's buffer holds.
+MAX_TAGS, MAX_TAG_BYTES = 100, 4096
 
 
 def time_format(ts: Column, resolution: str = "S", offset_seconds: int = 0) -> Column:
@@ -62,10 +62,12 @@ def enum_decode(code: Column, names: dict[int, str] | list[str]) -> Column:
     return F.coalesce(F.try_element_at(table, code.cast("int")), code.cast("string"))
 
 
-def tags(tagset: Column, separators: str = ",;") -> Column:
-    """The tags of a set as an array: split at any separator, empty ones left out, MAX_TAGS of the first MAX_TAG_CHARS characters at most."""
+def tags(tagset: Column, separators: str = ",;", strict_compat: bool = False) -> Column:
+    """The tags of a set as an array: split at any separator, empty ones left out. strict_compat: MAX_TAGS of the first MAX_TAG_BYTES bytes at most."""
     escaped = "".join("\\" + c for c in separators)
-    return F.slice(F.filter(F.split(F.left(tagset, F.lit(MAX_TAG_CHARS)), f"[{escaped}]"), lambda t: t != ""), 1, MAX_TAGS)
+    text = F.substring(tagset.cast("binary"), 1, MAX_TAG_BYTES).cast("string") if strict_compat else tagset
+    found = F.filter(F.split(text, f"[{escaped}]"), lambda t: t != "")
+    return F.slice(found, 1, MAX_TAGS) if strict_compat else found
 
 
 def coerce(value: Column, kind: str) -> Column:

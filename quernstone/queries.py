@@ -8,15 +8,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fields as fl
 from .functions import scalars as fn
 from .operators import distinct, histogram, quantile, sample
-from .plans.spec import Distinct, Percentiles, QuerySpec, Value, WeightedDistinct, count
+from .plans.spec import Distinct, Percentiles, QuerySpec, Value, WeightedDistinct, count, special_count
 from .plans.summary import State, Summary, build, read_hours, requery, write_by_hour
-from .sources.readers import union_all
+from .sources.readers import read_list, union_all
 from .sources.scratch import scratch_path
 from .sources.writers import json_rows, msgpack_rows
 from .streaming.streams import stream_summary
@@ -86,9 +86,49 @@ def first_n_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.first_n(t(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), 100, ["event_id"])
 
 
-@query()
+@query("SELECT least(100, count(*)) AS n, least(100, count(*)) AS n_events FROM events")
 def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.reservoir(t(spark, sf_dir, "events"), 100, 7)
+    """How many rows the sample has, and how many different events of the table."""
+    events = t(spark, sf_dir, "events")
+    drawn = sample.reservoir(events, 100, 7).select(F.col("event_id").alias("_id"))
+    return drawn.join(events.select("event_id"), F.col("_id") == F.col("event_id"), "left").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_events"))
+
+
+@query("""
+SELECT event_type, count(*) AS n, avg(value) AS mean, CAST(sum(event_id % 3) AS BIGINT) AS events, CAST(sum(CASE WHEN value IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS with_value FROM events GROUP BY 1
+""")
+def special_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = QuerySpec(
+        keys={"event_type": "event_type"},
+        aggregates=[count("n"), Value("mean", "avg(value)"), special_count("events", "event_id % 3"), special_count("with_value", "int(value is not null)")],
+    )
+    return spec.compile(t(spark, sf_dir, "events"))
+
+
+@query("""
+SELECT o_orderkey, o_orderkey | 32 AS set_5, o_orderkey & ~4 AS cleared_2, o_orderkey & 1 = 1 AS has_0, CASE WHEN o_custkey % 2 = 0 THEN o_orderkey | 8 ELSE o_orderkey & ~8 END AS assigned_3,
+       true AS in_stratum FROM orders
+""")
+def bits_and_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("long")
+    stratum = fn.stratum(7, key, salt=1)
+    return t(spark, sf_dir, "orders").select(
+        "o_orderkey", fn.set_bit(key, 5).alias("set_5"), fn.clear_bit(key, 2).alias("cleared_2"), fn.test_bit(key, 0).alias("has_0"),
+        fn.assign_bit(key, 3, F.col("o_custkey") % 2 == 0).alias("assigned_3"), ((stratum >= 0) & (stratum < 7)).alias("in_stratum"),
+    )
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, source FROM nation, (VALUES ('csv'), ('json'), ('parquet')) AS s(source)")
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table read from compressed JSON, CSV and Parquet files that a list names, one of them rotated meanwhile and one missing."""
+    rows, path = t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), scratch_path(spark, "sources")
+    schema = rows.schema.add("source", "string")
+    for kind, suffix in (("csv", "csv.rotated"), ("json", "json.gz"), ("parquet", "parquet")):
+        writer = rows.withColumn("source", F.lit(kind)).coalesce(1).write.format(kind)
+        (writer.option("header", "true") if kind == "csv" else writer.option("compression", "gzip")).save(f"{path}/nation.{suffix}")
+    names = [f"{path}/nation.{x}" for x in ("csv", "json.gz", "parquet")] + [f"{path}/missing.json"]
+    spark.createDataFrame([(x,) for x in names], "value string").coalesce(1).write.text(f"{path}/list")
+    return read_list(spark, f"{path}/list", schema=schema).select("n_nationkey", "n_name", "n_regionkey", "source")
 
 
 @query("""
@@ -122,22 +162,40 @@ def weighted_ucount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec.compile(t(spark, sf_dir, "events"))
 
 
-@query()
+def _close(estimate: Column, exact: Column) -> Column:
+    """Whether an estimate is within three standard errors of the exact count."""
+    return F.abs(estimate - exact) <= F.lit(3 * distinct.error_for_precision(distinct.PRECISION)) * exact
+
+
+_HLL = "SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, true AS close FROM lineitem GROUP BY 1"
+
+
+@query(_HLL)
 def ucount_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QuerySpec(keys={"l_returnflag": "l_returnflag"}, aggregates=[Distinct("orders", ("l_orderkey",), "hll")]).compile(t(spark, sf_dir, "lineitem"))
+    """The sketch's estimate beside the exact count of the same plan."""
+    spec = QuerySpec(keys={"l_returnflag": "l_returnflag"}, aggregates=[Distinct("orders", ("l_orderkey",)), Distinct("estimate", ("l_orderkey",), "hll")])
+    return spec.compile(t(spark, sf_dir, "lineitem")).select("l_returnflag", "orders", _close(F.col("estimate"), F.col("orders")).alias("close"))
 
 
-@query()
+@query(_HLL)
 def ucount_hll_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(distinct.sketch(F.col("l_orderkey")).alias("s"))
-    return states.groupBy("l_returnflag").agg(distinct.estimate(distinct.merge(F.col("s"))).alias("orders"))
+    rows = t(spark, sf_dir, "lineitem")
+    states = rows.groupBy("l_returnflag", "l_linestatus").agg(distinct.sketch(F.col("l_orderkey")).alias("s"))
+    merged = states.groupBy("l_returnflag").agg(distinct.estimate(distinct.merge(F.col("s"))).alias("estimate"))
+    exact = rows.groupBy("l_returnflag").agg(distinct.exact(F.col("l_orderkey")).alias("orders"))
+    return exact.join(merged, "l_returnflag").select("l_returnflag", "orders", _close(F.col("estimate"), F.col("orders")).alias("close"))
 
 
-@query()
+@query("""
+WITH w AS (SELECT event_type, event_id % 4 AS weight, count(DISTINCT user_id) AS n FROM events GROUP BY ALL)
+SELECT event_type, CAST(sum(n * weight) AS BIGINT) AS weighted, true AS close FROM w GROUP BY 1
+""")
 def weighted_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "events").withColumn("weight", F.col("event_id") % 4)
     halves = [distinct.weighted_states(rows.filter(F.col("event_id") % 2 == i), ["event_type"], ["user_id"], "weight") for i in (0, 1)]
-    return distinct.merge_weighted(union_all(*halves), ["event_type"]).select("event_type", distinct.estimate_weighted(F.col("states")).alias("weighted"))
+    merged = distinct.merge_weighted(union_all(*halves), ["event_type"]).select("event_type", distinct.estimate_weighted(F.col("states")).alias("estimate"))
+    exact = distinct.weighted(rows, ["event_type"], ["user_id"], "weight")
+    return exact.join(merged, "event_type").select("event_type", "weighted", _close(F.col("estimate"), F.col("weighted")).alias("close"))
 
 
 # Percentiles.
@@ -245,14 +303,30 @@ def hist_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram.merge(*(histogram.histogram(rows.filter(F.col("event_id") % 2 == i), ["event_type"], "value", 5, 10, 110) for i in (0, 1)), keys=["event_type"])
 
 
-@query("""
+@query(histogram_sql("lineitem", "l_extendedprice", 7, "lo", "hi", "l_returnflag", "CAST(l_quantity AS BIGINT)"))
+def hist_dynamic_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, keys = t(spark, sf_dir, "lineitem"), ["l_returnflag"]
+    parts = [histogram.value_states(rows.filter(F.col("l_orderkey") % 2 == i), keys, "l_extendedprice", "l_quantity") for i in (0, 1)]
+    return histogram.histogram(histogram.merge_states(*parts, keys=keys), keys, "value", 7, weight="count")
+
+
+_BINS = """
 WITH v AS (SELECT l_linestatus, l_quantity AS v, l_linenumber::BIGINT AS w, CASE WHEN l_quantity < 5 THEN -1 WHEN l_quantity > 40 THEN 3 WHEN l_quantity >= 30 THEN 2 WHEN l_quantity >= 10 THEN 1 ELSE 0 END AS b FROM lineitem),
 k AS (SELECT l_linestatus, sum(CASE WHEN b = -1 THEN w ELSE 0 END) AS l, sum(CASE WHEN b = 3 THEN w ELSE 0 END) AS r, sum(w) AS tot, min(v) AS total_min, max(v) AS total_max FROM v GROUP BY 1),
 c AS (SELECT l_linestatus, b, sum(w) AS n FROM v GROUP BY 1, 2)
 SELECT k.l_linestatus, i::INT AS bin, [5.0, 10.0, 30.0, 40.0][i + 1]::DOUBLE AS start, [5.0, 10.0, 30.0, 40.0][i + 2]::DOUBLE AS stop, coalesce(n, 0)::BIGINT AS count,
        l::BIGINT AS left_count, r::BIGINT AS right_count, (tot - l - r)::BIGINT AS range_count, tot::BIGINT AS total_count, total_min, total_max
 FROM k CROSS JOIN range(0, 3) AS x(i) LEFT JOIN c ON c.l_linestatus = k.l_linestatus AND c.b = x.i
-""")
+"""
+
+
+@query(_BINS)
+def bins_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "lineitem")
+    return histogram.merge(*(histogram.explicit_bins(rows.filter(F.col("l_orderkey") % 2 == i), ["l_linestatus"], "l_quantity", [5, 10, 30, 40], "l_linenumber") for i in (0, 1)), keys=["l_linestatus"])
+
+
+@query(_BINS)
 def bins_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram.explicit_bins(t(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_quantity", [5, 10, 30, 40], "l_linenumber")
 
@@ -309,10 +383,15 @@ def tag_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.rates_by_tags(parts, rates, "p_partkey", tags, 0.125)
 
 
-@query()
+@query("SELECT event_type, count(*) AS n, true AS as_many_as_the_rate FROM events GROUP BY 1")
 def sample_by_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sample of each type has as many rows as its rate says, within five standard deviations."""
     rates = spark.createDataFrame([("click", 0.5)], "key string, rate double")
-    return sample.sample_by_rate(sample.rates_by_row(t(spark, sf_dir, "events"), rates, "event_type", 0.1), "rate", ["event_id"])
+    rated = sample.rates_by_row(t(spark, sf_dir, "events"), rates, "event_type", 0.1)
+    drawn = sample.sample_by_rate(rated, "rate", ["event_id"]).groupBy("event_type").agg(F.count("*").alias("drawn"))
+    whole = rated.groupBy("event_type").agg(F.count("*").alias("n"), F.max("rate").alias("p"))
+    off = F.abs(F.coalesce("drawn", F.lit(0)) - F.col("n") * F.col("p"))
+    return whole.join(drawn, "event_type", "left").select("event_type", "n", (off <= 5 * F.sqrt(F.col("n") * F.col("p") * (1 - F.col("p")))).alias("as_many_as_the_rate"))
 
 
 @query("""
@@ -356,9 +435,49 @@ def json_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
-@query()
+@query("""
+SELECT upper('93' || lpad(to_hex(n_nationkey), 2, '0') || to_hex(160 + strlen(n_name)) || hex(n_name) || lpad(to_hex(n_regionkey), 2, '0')) AS record FROM nation
+""")
 def msgpack_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return msgpack_rows(t(spark, sf_dir, "events"))
+    return msgpack_rows(t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")).select(F.hex("record").alias("record"))
+
+
+@query("""
+SELECT '[' || n_nationkey || ',"' || n_name || '<0x7f>",[' || CASE WHEN n_nationkey % 2 = 0 THEN 'null' ELSE '0.5' END || ',1.5],{"x":' || CASE WHEN n_nationkey % 3 = 0 THEN 'null' ELSE '2.5' END || '},"a<0xff>b"]' AS record FROM nation
+""")
+def json_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles that aren't finite, inside an array and a struct, a control character, and bytes that aren't UTF-8."""
+    key, nan = F.col("n_nationkey"), F.lit(float("nan"))
+    rows = t(spark, sf_dir, "nation").select(
+        key, F.concat("n_name", F.lit("\x7f")).alias("name"), F.array(F.when(key % 2 == 0, nan).otherwise(0.5), F.lit(1.5)).alias("list"),
+        F.struct(F.when(key % 3 == 0, F.lit(float("inf"))).otherwise(2.5).alias("x")).alias("inner"), F.unhex(F.lit("61FF62")).alias("raw"),
+    )
+    return json_rows(rows)
+
+
+@query("""
+SELECT event_id // 5 AS buffer_id, event_id, 9007199254740993 + event_id AS big, CASE WHEN event_id % 2 = 0 THEN value ELSE CAST(event_id AS DOUBLE) END AS amount,
+       CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 2 THEN 'shared' END AS label FROM events
+""")
+def cells_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of cells and back: 64-bit integers, floats kept as integers, texts of the event, null there, or of its buffer."""
+    rows = t(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 5).alias("buffer_id"), "event_id", "event_type", "value")
+    no, none = F.lit(False), lambda kind: F.lit(None).cast(kind)
+
+    def cell(field: int, is_null: Column = no, is_float: Column = no, i: Column | None = None, f: Column | None = None, text: Column | None = None, event: Column | None = None) -> Column:
+        values = (("event_id", event, "long"), ("int_value", i, "long"), ("float_value", f, "double"), ("str_value", text, "string"))
+        return F.struct(F.lit(field).alias("field_id"), is_null.alias("is_null"), is_float.alias("is_float"), *((none(k) if v is None else v.cast(k)).alias(n) for n, v, k in values))
+
+    event, even = F.col("event_id"), F.col("event_id") % 2 == 0
+    own = [
+        cell(1, i=event + 9007199254740993, event=event),
+        cell(2, is_float=even, i=F.when(~even, event), f=F.when(even, F.col("value")), event=event),
+        F.when(event % 3 != 2, cell(3, is_null=event % 3 == 1, text=F.when(event % 3 == 0, F.col("event_type")), event=event)),
+    ]
+    cells = rows.select("buffer_id", F.explode(F.filter(F.array(*own), lambda c: c.isNotNull())).alias("c"))
+    shared = rows.select("buffer_id").distinct().select("buffer_id", cell(3, text=F.lit("shared")).alias("c"))
+    stream = cells.unionByName(shared).select("buffer_id", "c.*").withColumn("is_field", F.lit(True))
+    return fl.rows_from_cells(stream, {1: ("big", "int"), 2: ("amount", "float"), 3: ("label", "string")})
 
 
 # Summaries.

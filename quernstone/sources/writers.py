@@ -14,18 +14,34 @@ from pyspark.sql import types as T
 from ..functions.scalars import finite_or_null
 
 
-def _json_value(df: DataFrame, name: str) -> Column:
-    """A column as JSON text. Doubles that aren't finite are null."""
-    column = F.col(f"`{name}`")
-    kind = df.schema[name].dataType
+def _plain(column: Column, kind: T.DataType) -> Column:
+    """A value of which each part can be JSON: doubles that aren't finite are null, also inside arrays, structs and maps; 0x7f in texts is <0x7f>."""
     if isinstance(kind, T.DoubleType | T.FloatType):
-        column = finite_or_null(column)
+        return finite_or_null(column)
+    if isinstance(kind, T.StringType):
+        return F.replace(column, F.lit("\x7f"), F.lit("<0x7f>"))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _plain(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(column, lambda _, v: _plain(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*(_plain(column[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return column
+
+
+def _json_value(df: DataFrame, name: str) -> Column:
+    """A column as JSON text."""
+    column = _plain(F.col(f"`{name}`"), df.schema[name].dataType)
     whole = F.to_json(F.array(column), {"ignoreNullFields": "false"})
     return whole.substr(F.lit(2), F.length(whole) - 2)
 
 
 def json_rows(df: DataFrame, name: str = "record") -> DataFrame:
-    """Each row as one JSON array."""
+    """Each row as one JSON array. Binary columns are texts of unknown encoding: what isn't UTF-8 is written as <0xNN>."""
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.BinaryType):
+            order = df.columns
+            df = escaped(df, field.name, f"{field.name}_text_").select(*(F.col(f"`{c}_text_`" if c == field.name else f"`{c}`").alias(c) for c in order))
     return df.select(F.concat(F.lit("["), F.concat_ws(",", *(_json_value(df, c) for c in df.columns)), F.lit("]")).alias(name))
 
 

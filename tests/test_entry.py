@@ -17,7 +17,7 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"summary_hour_split"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, name):
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)

@@ -54,8 +54,10 @@ def test_tags_coercion_bits(spark):
         scalars.set_bit(F.col("b"), 1).alias("s"), scalars.clear_bit(F.col("b"), 0).alias("c"), scalars.test_bit(F.col("b"), 2).alias("t"), scalars.assign_bit(F.col("b"), 3, F.lit(True)).alias("a"),
     ).first()
     assert list(row) == [["a", "b", "c"], -2, None, True, 7, 4, True, 13]
-    long = spark.createDataFrame([(",".join(map(str, range(300))),)], "t string").select(F.size(scalars.tags(F.col("t")))).first()[0]
-    assert long == 100
+    # All tags, or those of the original's buffer: 100, of 4096 bytes.
+    wide = spark.createDataFrame([(",".join(map(str, range(300))),), (",".join("é" * 100 for _ in range(40)),)], "t string")
+    counts = wide.select(F.size(scalars.tags(F.col("t"))), F.size(scalars.tags(F.col("t"), strict_compat=True))).collect()
+    assert list(map(tuple, counts)) == [(300, 100), (40, 21)]
 
 
 def test_order_and_samples(spark):
@@ -75,3 +77,9 @@ def test_rates(spark):
     many = spark.range(10_000).withColumn("r", F.lit(0.3))
     kept = sample.sample_by_rate(many, "r", ["id"])
     assert abs(kept.count() - 3000) < 200 and sorted(r.id for r in kept.collect()) == sorted(r.id for r in sample.sample_by_rate(many.repartition(7), "r", ["id"]).collect())
+
+
+def test_cells_keep_all_bits(spark):
+    cells = spark.createDataFrame([(1, 1, True, 7, False, False, 2**53 + 1, None, None), (1, 2, True, 7, False, True, None, 2.9, None), (1, None, True, 8, False, False, 72620556876513285, None, None)], "buffer_id long, event_id long, is_field boolean, field_id int, is_null boolean, is_float boolean, int_value long, float_value double, str_value string")
+    rows = fields.rows_from_cells(cells, {7: ("n", "int"), 8: ("v", "version")}).orderBy("event_id").collect()
+    assert [(r.n, r.v) for r in rows] == [(2**53 + 1, 72620556876513285), (2, 72620556876513285)]
