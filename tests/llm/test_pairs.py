@@ -298,9 +298,9 @@ def test_minhashes_agree_as_sets_are_similar():
         assert abs(np.mean(agree) - share) < 0.02
 
 
-@pytest.mark.parametrize(("large", "step"), [(16, 1 << 20), (2, 7)])
-def test_near_copies(spark, docs, odd, monkeypatch, large, step):
-    for name, value in (("LARGE_GROUP", large), ("NEXT", 1), ("_STEP", step)):
+@pytest.mark.parametrize(("large", "step", "chunk"), [(16, 1 << 20, 4000), (2, 7, 4000), (1, 7, 2)])
+def test_near_copies(spark, docs, odd, monkeypatch, large, step, chunk):
+    for name, value in (("LARGE_GROUP", large), ("NEXT", 1), ("_STEP", step), ("CHUNK", chunk)):
         monkeypatch.setattr(near_copies, name, value)
     rng = random.Random(3)
     rows = [(0, None), (1, ""), (2, "a b"), (3, "A\tb"), (4, "a b c")]
