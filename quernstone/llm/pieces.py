@@ -32,7 +32,7 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 _CHUNK = 1 << 20
 #: Pairs of tokens whose compatibility is kept; bytes of the words that are kept.
-_PAIRS, WORDS_KEPT = 1 << 20, 64 << 20
+_PAIRS, WORDS_KEPT = 1 << 18, 40 << 20
 
 
 @dataclass
