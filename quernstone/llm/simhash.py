@@ -26,6 +26,10 @@ LARGE_GROUP = 20_000
 #: Pairs of nodes walked at a time, fingerprints whose groups are joined at a time.
 PAIRS, RUN = 1 << 18, 1 << 18
 _HASHES = 1 << 16
+#: Bits of a set's fingerprint.
+WIDE = 256
+_STRETCH = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def fingerprint(text: str, n: int = SHINGLE) -> int:
@@ -45,6 +49,18 @@ def fingerprint(text: str, n: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(first)).tobytes(), "big")
 
 
+def set_fingerprint(own: np.ndarray) -> bytes:
+    """WIDE bits of a set of shingles' hashes by the same rule: each hash is stretched to so many bits."""
+    counts = np.zeros(WIDE, np.int64)
+    for i in range(0, len(own), 255):  # so many that a byte holds the sums
+        wide = (own[i : i + 255, None] + _STRETCH) * _MIX
+        wide ^= wide >> np.uint64(32)
+        wide *= _MIX
+        wide ^= wide >> np.uint64(29)
+        counts += np.unpackbits(wide.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(own)).tobytes()
+
+
 def add_fingerprints(df: DataFrame, text: str = "text", column: str = "fp", n: int = SHINGLE) -> DataFrame:
     """df with the fingerprint of every whole text as a signed long; null and empty texts have 0."""
 
@@ -119,37 +135,74 @@ def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = further
 
 
-def trie_join(values: np.ndarray, shared: int, k: int) -> np.ndarray:
-    """For sorted distinct numbers, the smallest place of each one's component among those with the same first shared bits, linked at k or fewer differing bits."""
-    n = len(values)
-    label = np.arange(n)
-    front = values >> np.uint64(64 - shared)
-    first = np.nonzero(np.r_[True, front[1:] != front[:-1]])[0] if n else np.zeros(0, np.int64)
-    end = np.r_[first[1:], n]
-    several = end - first > 1
-    lo, hi = first[several], end[several]
-    waiting = [(shared, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
+def trie_pairs(n_bits: int, lo: np.ndarray, hi: np.ndarray, depth: int, k: int, split: Callable, differing: Callable, label: np.ndarray | None = None, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i, j of the pairs within the same range (lo, hi) of a sorted array, all of whose values have so many first bits (depth) in common, that are within k differing ones of the first n_bits bits.
+
+    split(lo, hi, depth) gives where in ranges the next bit becomes 1, differing(i, j) the number of differing bits. Bits after n_bits only tell
+    equal ones apart. With label, pairs of nodes that have one label throughout are left out, so that no pair with different labels is.
+    """
+    several = hi - lo > 1
+    lo, hi = lo[several], hi[several]
+    change = None if label is None else np.r_[0, np.cumsum(label[1:] != label[:-1])]
+    limit = limit or PAIRS
+    waiting = [(depth, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
     while waiting:
         depth, lo1, hi1, lo2, hi2, off = waiting.pop()
-        if len(lo1) > PAIRS:
+        if len(lo1) > limit:
             half = len(lo1) // 2
             waiting += [(depth, *(x[half:] for x in (lo1, hi1, lo2, hi2, off))), (depth, *(x[:half] for x in (lo1, hi1, lo2, hi2, off)))]
             continue
         leaf = (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
         i, j = lo1[leaf], lo2[leaf]
-        near = np.bitwise_count(values[i] ^ values[j]) <= k
-        _joined(label, i[near], j[near])
+        near = differing(i, j) <= k
+        yield i[near], j[near]
         lo1, hi1, lo2, hi2, off = (x[~leaf] for x in (lo1, hi1, lo2, hi2, off))
+        if change is not None and len(lo1):
+            apart = (change[hi1 - 1] != change[lo1]) | (change[hi2 - 1] != change[lo2]) | (label[lo1] != label[lo2])
+            lo1, hi1, lo2, hi2, off = (x[apart] for x in (lo1, hi1, lo2, hi2, off))
         if not len(lo1):
             continue
-        shift = np.uint64(63 - depth)
-        mid1, mid2 = (np.searchsorted(values, ((values[lo] >> shift) | np.uint64(1)) << shift) for lo in (lo1, lo2))
+        mid1, mid2 = split(lo1, hi1, depth), split(lo2, hi2, depth)
         itself = lo1 == lo2  # two nodes of one depth are the same or apart
+        more = int(depth < n_bits)
         made = []
-        for a, b, c, d, more, keep in ((lo1, mid1, lo2, mid2, 0, True), (mid1, hi1, mid2, hi2, 0, True), (lo1, mid1, mid2, hi2, 1, off < k), (mid1, hi1, lo2, mid2, 1, (off < k) & ~itself)):
+        for a, b, c, d, error, keep in ((lo1, mid1, lo2, mid2, 0, True), (mid1, hi1, mid2, hi2, 0, True), (lo1, mid1, mid2, hi2, more, off + more <= k), (mid1, hi1, lo2, mid2, more, (off + more <= k) & ~itself)):
             keep = keep & (b > a) & (d > c) & ((a != c) | (b - a > 1))
-            made.append((a[keep], b[keep], c[keep], d[keep], off[keep] + more))
+            made.append((a[keep], b[keep], c[keep], d[keep], off[keep] + error))
         waiting.append((depth + 1, *(np.concatenate(x) for x in zip(*made, strict=True))))
+
+
+def wide_pairs(values: np.ndarray, names: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, label: np.ndarray | None = None, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """trie_pairs of wide fingerprints (rows of 64-bit words) in ranges that are sorted by them and then by names, which are distinct in a range."""
+    words = [*values.T, names.view(np.uint64)]
+
+    def split(lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
+        word, shift = words[depth >> 6], np.uint64(63 - (depth & 63))
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            one = (word[np.minimum(mid, len(word) - 1)] >> shift & np.uint64(1)).astype(bool)
+            lo, hi = np.where(open_ & ~one, mid + 1, lo), np.where(open_ & one, mid, hi)
+        return lo
+
+    def differing(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(values[i] ^ values[j]).sum(1, dtype=np.int64)
+
+    return trie_pairs(64 * values.shape[1], lo, hi, 0, k, split, differing, label, limit)
+
+
+def trie_join(values: np.ndarray, shared: int, k: int) -> np.ndarray:
+    """For sorted distinct numbers, the smallest place of each one's component among those with the same first shared bits, linked at k or fewer differing bits."""
+    n = len(values)
+    label = np.arange(n)
+    front = values >> np.uint64(64 - shared)
+    first = np.nonzero(np.r_[True, front[1:] != front[:-1]])[0] if n else np.zeros(0, np.int64)
+
+    def split(lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
+        shift = np.uint64(63 - depth)
+        return np.searchsorted(values, ((values[lo] >> shift) | np.uint64(1)) << shift)
+
+    for i, j in trie_pairs(64, first, np.r_[first[1:], n] if n else first, shared, k, split, lambda i, j: np.bitwise_count(values[i] ^ values[j])):
+        _joined(label, i, j)
     return label
 
 

@@ -328,6 +328,79 @@ def test_the_stage_drops_near_copies(spark, sf):
     assert left == sorted(set(five_word_groups(rows).values())) == [0, 9]
 
 
+def test_the_stage_takes_pairs_from_the_trie(spark, sf, monkeypatch):
+    """With another budget of differing bits the trie's join, and so the stage, finds other pairs."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:p] + [f"x{i}"] + words[p + 1 :])) for i, p in enumerate((20, 60, 100, 140))]
+    df = spark.createDataFrame([*rows, (8, rows[0][1]), (9, rows[1][1].upper())], "doc_id long, text string")
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, df, sf).collect())
+    assert kept() == [0]
+    monkeypatch.setattr(near_copies, "ERRORS", 0, raising=False)
+    assert kept() == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_wide_pairs(limit):
+    """Three groups of wide fingerprints, equal ones too, with and without labels."""
+    rng = random.Random(4)
+    rows = []
+    for group in range(3):
+        base = [rng.getrandbits(128) for _ in range(4)]
+        for _ in range(40):
+            x = rng.choice(base)
+            for _ in range(rng.randint(0, 9)):
+                x ^= 1 << rng.randrange(128)
+            rows.append((group, x, rng.getrandbits(63) - 2**62))
+    rows += [(2, rows[-1][1], 5), (2, rows[-1][1], -5)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2] % 2**64))
+    values = np.array([[x >> 64, x % 2**64] for _, x, _ in rows], np.uint64)
+    names, label = np.array([r[2] for r in rows]), np.array([rng.randrange(2) if r[0] else 7 for r in rows])
+    group = [r[0] for r in rows]
+    lo = np.array([group.index(g) for g in range(3)])
+    hi = np.r_[lo[1:], len(rows)]
+    for k in (0, 3, 10):
+        expected = {(i, j) for j in range(len(rows)) for i in range(j) if group[i] == group[j] and (rows[i][1] ^ rows[j][1]).bit_count() <= k}
+        found = [tuple(sorted(map(int, p))) for x in simhash.wide_pairs(values, names, lo, hi, k, None, limit) for p in zip(*x, strict=True)]
+        assert sorted(found) == sorted(expected) and len(expected) > 2
+        apart = lambda pairs: {(i, j) for i, j in pairs if label[i] != label[j]}
+        found = [tuple(sorted(map(int, p))) for x in simhash.wide_pairs(values, names, lo, hi, k, label, limit) for p in zip(*x, strict=True)]
+        assert apart(found) == apart(expected) and len(set(found)) == len(found) and set(found) <= expected
+
+
+def test_budget_of_differing_bits():
+    """The likeliest difference of a bit, over sizes of sets of similarity 0.8, and the chance that more than the budget differ."""
+
+    def over(n, need):  # more than need of n
+        return sum(math.comb(n, i) for i in range(max(0, need + 1), n + 1)) / 2**n
+
+    worst = 0.0
+    for a in range(1, 60):
+        for b in range(a, 5 * a // 4 + 1):
+            both = -(-4 * (a + b) // 9)
+            if both <= a:
+                chances = [(math.comb(both, c) / 2**both, over(a - both, a // 2 - c), over(b - both, b // 2 - c)) for c in range(both + 1)]
+                worst = max(worst, sum(p * (x * (1 - y) + y * (1 - x)) for p, x, y in chances))
+    assert 0.18 < worst < 0.19
+    n, k = simhash.WIDE, near_copies.ERRORS
+    assert sum(math.comb(n, i) * worst**i * (1 - worst) ** (n - i) for i in range(k + 1, n + 1)) < 1e-12
+    assert sum(math.comb(n, i) for i in range(k + 1)) / 2**n < 1e-4  # of unlike sets
+
+
+def test_wide_fingerprints_differ_as_sets_do():
+    rng, differ = np.random.default_rng(5), []
+    for n in (5, 9, 90, 700, 3000):
+        for _ in range(40):
+            every = rng.integers(0, 1 << 63, n, np.uint64)
+            a, b = (every[n // 10 :], every[: n - n // 10]) if n > 5 else (every, every[1:])
+            assert near_copies.similar(np.sort(a), np.sort(b))
+            x, y = (int.from_bytes(simhash.set_fingerprint(s), "big") for s in (a, b))
+            assert simhash.set_fingerprint(a) == simhash.set_fingerprint(a[::-1])
+            differ.append((x ^ y).bit_count())
+    assert max(differ) <= near_copies.ERRORS and 20 < np.mean(differ) < 60
+    unlike = [int.from_bytes(simhash.set_fingerprint(rng.integers(0, 1 << 63, 101, np.uint64)), "big") for _ in range(60)]
+    assert min((x ^ y).bit_count() for i, x in enumerate(unlike) for y in unlike[:i]) > 80
+
+
 def test_near_copies_of_odd_ids(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (None, "q w e r t y"), (None, "q w e r t y"), (3, None), (4, ""), (7, "k l m n"), (7, "other words are here now")]
     left = near_copies.keep_one_copy(spark.createDataFrame(rows, "doc_id long, text string"))
